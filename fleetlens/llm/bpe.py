@@ -14,7 +14,7 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEPT = 400_000
+KEPT = 250_000
 #: Characters for which the fast way is known to be right: there, NFC changes nothing, lower case is one to one, and
 #: re's classes equal Unicode's.
 _OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]|<\\|")

@@ -18,6 +18,13 @@ from pyspark.sql import functions as F
 
 #: Bits of a filter that is sent to all workers: 4 MB, whatever the input's size.
 FILTER_BITS = 1 << 25
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of at most BATCH_ROWS rows, which bounds what a worker and its JVM hold."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") or 0) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +62,13 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 def with_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator uses, as ``id``, ``text`` and ``more``; other columns can't clash with its own."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
 def rows_kept(df: DataFrame, text_col: str, keep: Callable[[list[bytes | None]], np.ndarray]) -> DataFrame:
     """The rows, with all their columns, whose text ``keep`` wants; nothing is shuffled."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

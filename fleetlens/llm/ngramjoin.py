@@ -38,8 +38,7 @@ FREQUENT, VERY_FREQUENT = 32, 512
 #: So many of the most frequent tokens are told to the workers at most; the rest count as rare, which costs time only.
 MOST_FREQUENT = 400_000
 #: Words of which a worker keeps the hash.
-KEPT = 400_000
-ROUNDS = 3
+KEPT = 200_000
 
 
 class _Words(dict):
@@ -108,15 +107,15 @@ class Scheme:
         n = max(int(self.bounds[max(b - 1, 0)]), 1)
         return max(1, min(self.needed(n) // 2, (n - self.needed(n)) // 3))
 
-    def signatures(self, tokens: np.ndarray, kinds: np.ndarray | None) -> tuple[np.ndarray, bool]:
-        """Of a set (sorted, unsigned), and whether all are single tokens. kinds: 1, 2 or 3 for each token; None: all 1."""
+    def signatures(self, tokens: np.ndarray, kinds: np.ndarray | None) -> np.ndarray:
+        """Of a set (sorted, unsigned). kinds: 1, 2 or 3 for each token; None: all 1."""
         n = len(tokens)
         need = self.needed(n)
         if kinds is None:
-            return tokens[:need], True
+            return tokens[:need]
         rare = tokens[kinds == 1]
         if len(rare) >= need:
-            return rare[:need], True
+            return rare[:need]
         out = [rare]
         b0 = self.size_class(n)
         for b in (b0, b0 + 1):
@@ -140,7 +139,7 @@ class Scheme:
                     for j in range(1, k + 1):
                         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + a[:, j])
                     out.append(h)
-        return np.concatenate(out), False
+        return np.concatenate(out)
 
 
 def _kinds(tokens: np.ndarray, filters: list[np.ndarray]) -> np.ndarray | None:
@@ -169,7 +168,7 @@ def _over(rows: DataFrame, width: int, emit: Callable[[list, list[np.ndarray]],
             at = 0
             while at < len(ids):
                 end, held = at, 0
-                while end < len(ids) and (held < 4_000_000 or end == at):
+                while end < len(ids) and (held < 2_000_000 or end == at):
                     held += len(texts[end] or b"")
                     end += 1
                 cols = emit(ids[at:end], shingle_sets(texts[at:end], width))
@@ -205,48 +204,50 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
     def filters(tokens: np.ndarray) -> list[np.ndarray]:
         return [_token_filter(np.unique(tokens[:, 0])), _token_filter(np.unique(tokens[tokens[:, 1] >= VERY_FREQUENT, 0]))] if len(tokens) else []
 
-    # lists that the plain order by hash would give, for twice the prefix: these tokens' counts make the first filter
-    def first(ids: list, sets: list[np.ndarray]) -> list:
-        seen, out = set(), [np.zeros(0, np.uint64)]
-        for s in sets:
-            if len(s) and not scheme.alone(len(s)) and (key := s[: 1 + len(s) // 2].tobytes()) not in seen:
-                seen.add(key)
-                out.append(s[: 2 * scheme.needed(len(s))])
-        return [as_long(np.concatenate(out))]
-
-    counts = _over(rows, width, first, pa.schema([("sig", pa.int64())]), "sig long").groupBy("sig").count()
-    tokens = frequent(counts, np.zeros((0, 2), np.int64))
-    for left in reversed(range(ROUNDS)):
-        held = spark.sparkContext.broadcast(filters(tokens))  # 4 MB each, whatever the input
-
-        def emit(ids: list, sets: list[np.ndarray], held=held) -> list:
-            sig, c, n, single = [np.zeros(0, np.uint64)], [], [], []
-            low, _ = _keys(sets)
-            seen = set()
-            for i, key, s in zip(ids, low, sets, strict=True):
-                if i is None or not len(s) or scheme.alone(len(s)) or (key, len(s)) in seen:
-                    continue
+    def distinct_sets(ids: list, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """Of the sets of a batch that can have partners other than equal ones, one each, with its class."""
+        low, _ = _keys(sets)
+        seen = set()
+        for i, key, s in zip(ids, low, sets, strict=True):
+            if i is not None and len(s) and not scheme.alone(len(s)) and (key, len(s)) not in seen:
                 seen.add((key, len(s)))
-                kinds = _kinds(s, held.value) if held.value else None
-                got, alone = scheme.signatures(s, kinds)
-                rare = len(got) if alone else int((kinds == 1).sum())
-                sig.append(got)
-                c.append(np.full(len(got), key, np.int64))
-                n.append(np.full(len(got), len(s), np.int64))
-                single.append(np.arange(len(got)) < rare)
-            join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
-            return [as_long(np.concatenate(sig)), join(c, np.int64), join(n, np.int64), join(single, bool)]
-
-        index = written(_over(rows, width, emit, pa.schema([("sig", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("single", pa.bool_())]), "sig long, c long, n long, single boolean"), "index")
-        lists = written(index.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("count"), F.bool_and("single").alias("single")).where("lo <> hi"), "lists")
-        if not left:
-            break
-        more = frequent(lists.where("single"), tokens)
-        if len(more) == len(tokens) or lists.where(F.col("single") & (F.col("count") >= FREQUENT)).agg(F.sum("count")).first()[0] < 0.02 * index.count():
-            break
-        tokens = more
-        dropped(index)
-        dropped(lists)
+                yield key, s
+
+    one = pa.schema([("sig", pa.int64())])
+    flat = lambda parts: [as_long(np.concatenate([np.zeros(0, np.uint64), *parts]))]
+
+    # which tokens are frequent is counted twice: over the first tokens by hash of all sets, twice a prefix of rare ones;
+    def first(ids: list, sets: list[np.ndarray]) -> list:
+        return flat(s[: 2 * scheme.needed(len(s))] for _, s in distinct_sets(ids, sets))
+
+    tokens = frequent(_over(rows, width, first, one, "sig long").groupBy("sig").count(), np.zeros((0, 2), np.int64))
+    if len(tokens):
+        half = spark.sparkContext.broadcast(filters(tokens))  # 4 MB each, whatever the input
+
+        # then over the other tokens of the sets of which so many are frequent that the prefix will go beyond these
+        def more(ids: list, sets: list[np.ndarray]) -> list:
+            out = []
+            for _, s in distinct_sets(ids, sets):
+                seen, need = s[: 2 * scheme.needed(len(s))], scheme.needed(len(s))
+                kinds = _kinds(seen, half.value)
+                if kinds is not None and int((kinds == 1).sum()) < need:
+                    out.append(s[len(seen) :])
+            return flat(out)
+
+        tokens = frequent(_over(rows, width, more, one, "sig long").groupBy("sig").count(), tokens)
+    held = spark.sparkContext.broadcast(filters(tokens))
+
+    def emit(ids: list, sets: list[np.ndarray]) -> list:
+        sig, c, n = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for key, s in distinct_sets(ids, sets):
+            got = scheme.signatures(s, _kinds(s, held.value) if held.value else None)
+            sig.append(got)
+            c.append(np.full(len(got), key, np.int64))
+            n.append(np.full(len(got), len(s), np.int64))
+        return [*flat(sig), np.concatenate(c), np.concatenate(n)]
+
+    index = written(_over(rows, width, emit, pa.schema([("sig", pa.int64()), ("c", pa.int64()), ("n", pa.int64())]), "sig long, c long, n long"), "index")
+    lists = index.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
     # entries of lists with two classes or more, by representative
     entries = index.join(lists.select("sig"), "sig").join(classes.select("c", "n", "rep"), ["c", "n"]).select("sig", "rep", "n").distinct()
     entries = written(entries, "entries")

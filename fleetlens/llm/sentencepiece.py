@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from fleetlens.llm.common import with_text
 
-KEPT = 300_000
+KEPT = 250_000
 MARK = "▁"
 #: What a character without a piece costs, below any piece's score.
 _UNKNOWN = -1e12

@@ -36,7 +36,7 @@ from fleetlens.llm.quality import held_out, sampled_labels
 SAMPLE, TERMS, VOTERS, CORRELATED = 20_000, 2_000, 60, 0.1
 #: Lengths of word beginnings, in characters.
 LENGTHS = range(3, 9)
-KEPT = 400_000
+KEPT = 200_000
 #: The seed lexicon, fixed values.
 SEEDS = ("idiot", "moron", "stupid", "dumb", "loser", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "fool", "imbecile", "vermin", "filth", "freak", "creep", "jerk", "hate")
 _SPACE = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
