@@ -22,7 +22,8 @@ each. An empty table gives no rows. Columns other than the two named are never r
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from functools import partial
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ FREQUENT, VERY_FREQUENT = 32, 512
 MOST_FREQUENT = 400_000
 #: Words of which a worker keeps the hash.
 KEPT = 200_000
+#: Bits of the parity of a set, by which most pairs are ruled out without their tokens.
+PARITY = 1024
 
 
 class _Words(dict):
@@ -61,7 +64,7 @@ def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
         _words.clear()
     lists = [word_list(t) for t in texts]
     sizes = [len(x) for x in lists]
-    flat = np.fromiter((_words[w] for x in lists for w in x), np.uint64, sum(sizes))
+    flat = np.fromiter(map(_words.__getitem__, chain.from_iterable(lists)), np.uint64, sum(sizes))
     h = np.zeros(max(0, len(flat) - width + 1), np.uint64)
     for k in range(width):
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + flat[k : len(flat) - width + 1 + k]) if len(h) else h
@@ -107,9 +110,8 @@ class Scheme:
         n = max(int(self.bounds[max(b - 1, 0)]), 1)
         return max(1, min(self.needed(n) // 2, (n - self.needed(n)) // 3))
 
-    def signatures(self, tokens: np.ndarray, kinds: np.ndarray | None) -> np.ndarray:
-        """Of a set (sorted, unsigned). kinds: 1, 2 or 3 for each token; None: all 1."""
-        n = len(tokens)
+    def signatures(self, n: int, tokens: np.ndarray, kinds: np.ndarray | None) -> np.ndarray:
+        """Of a set of size ``n`` by its first tokens (sorted, unsigned) or all. kinds: 1, 2 or 3 for each; None: all 1."""
         need = self.needed(n)
         if kinds is None:
             return tokens[:need]
@@ -184,69 +186,154 @@ def _keys(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     return [sign(x & (1 << 64) - 1) for x in d], [sign(x >> 64) for x in d]
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id``; two documents link when den * intersection >= num * union."""
-    spark = docs.sparkSession
-    scheme = Scheme(num, den)
-    rows = with_text(docs, id_col, text_col)
+def frequent(counts: DataFrame, known: np.ndarray) -> np.ndarray:
+    """Tokens with their counts; at most MOST_FREQUENT come to the driver."""
+    top = counts.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "sig").limit(MOST_FREQUENT).toArrow()
+    return np.concatenate([known, np.stack([top["sig"].to_numpy(), top["count"].to_numpy()], 1)]) if top.num_rows else known
 
-    def sizes(ids: list, sets: list[np.ndarray]) -> list:
-        return [ids, [len(s) for s in sets], *_keys(sets)]
 
-    sized = written(_over(rows, width, sizes, pa.schema([("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("c2", pa.int64())]), "id long, n long, c long, c2 long"), "sized")
-    classes = sized.where("n > 0 and id is not null").groupBy("n", "c", "c2").agg(F.min("id").alias("rep"))
-    classes = written(classes, "classes")
+def filters(tokens: np.ndarray) -> list[np.ndarray]:
+    """Of the frequent and the very frequent ones, 4 MB each."""
+    return [_token_filter(np.unique(tokens[:, 0])), _token_filter(np.unique(tokens[tokens[:, 1] >= VERY_FREQUENT, 0]))] if len(tokens) else []
+
+
+def _needed_sql(num: int, den: int) -> str:
+    return f"(n - ({num} * n + {den - 1}) div {den} + 1)"
+
+
+def _unlike(heads: DataFrame) -> DataFrame:
+    """The first tokens of the sets, of equal sets in a task only once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            out = [np.zeros(0, np.uint64)]
+            for c, n, s in zip(batch["c"].to_pylist(), batch["n"].to_pylist(), _lists(batch, "head"), strict=True):
+                if (c, n) not in seen:
+                    seen.add((c, n))
+                    out.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(out)))], names=["sig"])
+
+    return heads.select("c", "n", "head").mapInArrow(run, "sig long")
+
+
+def _as_batch(cols: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    def frequent(counts: DataFrame, known: np.ndarray) -> np.ndarray:
-        top = counts.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "sig").limit(MOST_FREQUENT).toArrow()
-        return np.concatenate([known, np.stack([top["sig"].to_numpy(), top["count"].to_numpy()], 1)]) if top.num_rows else known
 
-    def filters(tokens: np.ndarray) -> list[np.ndarray]:
-        return [_token_filter(np.unique(tokens[:, 0])), _token_filter(np.unique(tokens[tokens[:, 1] >= VERY_FREQUENT, 0]))] if len(tokens) else []
+def _parity(s: np.ndarray) -> np.ndarray:
+    """For each of PARITY bits whether an odd number of tokens fall on it: two sets differ in as many tokens at least as bits."""
+    odd = (np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1).astype(bool)
+    return np.packbits(odd).view(np.int64)
 
-    def distinct_sets(ids: list, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-        """Of the sets of a batch that can have partners other than equal ones, one each, with its class."""
-        low, _ = _keys(sets)
-        seen = set()
-        for i, key, s in zip(ids, low, sets, strict=True):
-            if i is not None and len(s) and not scheme.alone(len(s)) and (key, len(s)) not in seen:
-                seen.add((key, len(s)))
-                yield key, s
 
-    one = pa.schema([("sig", pa.int64())])
-    flat = lambda parts: [as_long(np.concatenate([np.zeros(0, np.uint64), *parts]))]
+_INDEX = pa.schema([("sig", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
 
-    # which tokens are frequent is counted twice: over the first tokens by hash of all sets, twice a prefix of rare ones;
-    def first(ids: list, sets: list[np.ndarray]) -> list:
-        return flat(s[: 2 * scheme.needed(len(s))] for _, s in distinct_sets(ids, sets))
 
-    tokens = frequent(_over(rows, width, first, one, "sig long").groupBy("sig").count(), np.zeros((0, 2), np.int64))
-    if len(tokens):
-        half = spark.sparkContext.broadcast(filters(tokens))  # 4 MB each, whatever the input
+def _lists(batch: pa.RecordBatch, col: str) -> list[np.ndarray]:
+    flat, at = batch[col].flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(batch[col].value_lengths().to_numpy(zero_copy_only=False))])
+    return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
-        # then over the other tokens of the sets of which so many are frequent that the prefix will go beyond these
-        def more(ids: list, sets: list[np.ndarray]) -> list:
+
+def _index(heads: DataFrame, whole: DataFrame | None, scheme: Scheme, filters: list[np.ndarray]) -> DataFrame:
+    """The signatures of sets whose prefix lies in their first tokens, and of those with all their tokens given."""
+    held = heads.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch], *, complete: bool) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            sig, cs, ns = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for c, n, s in zip(batch["c"].to_pylist(), batch["n"].to_pylist(), _lists(batch, "tokens"), strict=True):
+                if (c, n) in seen:
+                    continue
+                kinds = _kinds(s, held.value)
+                if complete or _covers(scheme, n, kinds, len(s)):
+                    seen.add((c, n))
+                    got = scheme.signatures(n, s, kinds)
+                    sig.append(got)
+                    cs.append(np.full(len(got), c))
+                    ns.append(np.full(len(got), n))
+            yield _as_batch([as_long(np.concatenate(sig)), np.concatenate(cs), np.concatenate(ns)], _INDEX)
+
+    out = heads.select("c", "n", F.col("head").alias("tokens")).mapInArrow(partial(run, complete=False), "sig long, c long, n long")
+    return out if whole is None else out.unionByName(whole.select("c", "n", "tokens").mapInArrow(partial(run, complete=True), "sig long, c long, n long"))
+
+
+def _covers(scheme: Scheme, n: int, kinds: np.ndarray | None, given: int) -> bool:
+    """Whether the prefix is made of rare ones of the first tokens."""
+    return (given if kinds is None else int((kinds == 1).sum())) >= scheme.needed(n)
+
+
+def _flagged(heads: DataFrame, scheme: Scheme, filters: list[np.ndarray]) -> DataFrame:
+    """Ids of one document of each class, task by task, whose prefix goes beyond its first tokens."""
+    held = heads.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
             out = []
-            for _, s in distinct_sets(ids, sets):
-                seen, need = s[: 2 * scheme.needed(len(s))], scheme.needed(len(s))
-                kinds = _kinds(seen, half.value)
-                if kinds is not None and int((kinds == 1).sum()) < need:
-                    out.append(s[len(seen) :])
-            return flat(out)
-
-        tokens = frequent(_over(rows, width, more, one, "sig long").groupBy("sig").count(), tokens)
-    held = spark.sparkContext.broadcast(filters(tokens))
-
-    def emit(ids: list, sets: list[np.ndarray]) -> list:
-        sig, c, n = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for key, s in distinct_sets(ids, sets):
-            got = scheme.signatures(s, _kinds(s, held.value) if held.value else None)
-            sig.append(got)
-            c.append(np.full(len(got), key, np.int64))
-            n.append(np.full(len(got), len(s), np.int64))
-        return [*flat(sig), np.concatenate(c), np.concatenate(n)]
-
-    index = written(_over(rows, width, emit, pa.schema([("sig", pa.int64()), ("c", pa.int64()), ("n", pa.int64())]), "sig long, c long, n long"), "index")
+            for i, c, n, s in zip(batch["id"].to_pylist(), batch["c"].to_pylist(), batch["n"].to_pylist(), _lists(batch, "head"), strict=True):
+                if (c, n) not in seen and not _covers(scheme, n, _kinds(s, held.value), len(s)):
+                    seen.add((c, n))
+                    out.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
+
+    return heads.select("id", "c", "n", "head").mapInArrow(run, "id long")
+
+
+def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``id, c, n, tokens`` of the rows with these ids: workers make the sets of those in a filter of the ids, a join does the rest."""
+    spark = rows.sparkSession
+    wanted = spark.sparkContext.broadcast(filter_bits(ids, "id"))
+    schema = pa.schema([("id", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
+        for batch in batches:
+            at = batch["bit"].to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero(((bits[at >> 6] >> (at & 63)) & 1).astype(bool))
+            for k in range(0, len(keep), 256):
+                some = batch.take(pa.array(keep[k : k + 256]))
+                sets = shingle_sets(as_bytes(some["text"]), width)
+                yield _as_batch([some["id"], _keys(sets)[0], [len(s) for s in sets], [as_long(s) for s in sets]], schema)
+
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    made = rows.where("id is not null").withColumn("bit", bit).mapInArrow(run, "id long, c long, n long, tokens array<long>").where("n > 0")
+    return made.join(ids, "id", "left_semi")
+
+
+def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id``; two documents link when den * intersection >= num * union."""
+    scheme = Scheme(num, den)
+    rows = with_text(docs, id_col, text_col)
+
+    def sizes(ids: list, sets: list[np.ndarray]) -> list:
+        heads = [s[: 2 * scheme.needed(len(s))] if len(s) and not scheme.alone(len(s)) else s[:0] for s in sets]
+        return [ids, [len(s) for s in sets], *_keys(sets), [_parity(s) for s in sets], [as_long(h) for h in heads]]
+
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("c2", pa.int64()), ("parity", pa.list_(pa.int64())), ("head", pa.list_(pa.int64()))])
+    sized = written(_over(rows, width, sizes, schema, "id long, n long, c long, c2 long, parity array<long>, head array<long>"), "sized")
+    classes = sized.where("n > 0 and id is not null").groupBy("n", "c", "c2").agg(F.min("id").alias("rep"), F.any_value("parity").alias("parity"))
+    classes = written(classes, "classes")
+    heads = sized.where("size(head) > 0 and id is not null").select("id", "n", "c", "head")
+
+    # Which tokens are frequent is counted over the first tokens by hash of all sets, twice a prefix of rare ones. Sets of
+    # which so many are frequent that the prefix goes beyond these are taken whole, and their other tokens are counted too.
+    tokens = frequent(_unlike(heads).groupBy("sig").count(), np.zeros((0, 2), np.int64))
+    whole: DataFrame | None = None
+    for again in (False, True):
+        if not len(tokens):
+            break
+        beyond = _flagged(heads, scheme, filters(tokens))
+        beyond = written(beyond if whole is None else beyond.join(whole.select("id"), "id", "left_anti"), "beyond")
+        if beyond.isEmpty():
+            break
+        more = written(_sets(rows, beyond, width), "whole")
+        if not again:
+            other = more.select(F.explode(F.expr(f"slice(tokens, 1 + 2 * cast({_needed_sql(num, den)} as int), 2147483647)")).alias("sig"))
+            tokens = frequent(other.groupBy("sig").count(), tokens)
+        whole = more if whole is None else whole.unionByName(more)
+    index = written(_index(heads, whole, scheme, filters(tokens)), "index")
     lists = index.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
     # entries of lists with two classes or more, by representative
     entries = index.join(lists.select("sig"), "sig").join(classes.select("c", "n", "rep"), ["c", "n"]).select("sig", "rep", "n").distinct()
@@ -256,8 +343,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
     head = written(head.select("sig", "members", F.col("head.rep").alias("a"), F.col("head.n").alias("an")), "heads")
     fits = lambda m, n: (F.lit(den) * F.least(m, n) >= F.lit(num) * F.greatest(m, n))
     pairs = entries.join(head, "sig").where((F.col("rep") != F.col("a")) & fits(F.col("an"), F.col("n"))).select("a", F.col("rep").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
-    links = verified(rows, pairs, width, num, den)
+    links = verified(rows, written(near(pairs, classes, num, den), "pairs"), width, num, den)
     part = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # members of a list whose components differ from that of its head: against all others of the list
     far = entries.join(head.where("members > 2"), "sig").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -266,7 +352,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
     stray = far.where("component <> of_head")
     other = far.where("rep <> a").select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
     rest = stray.select("sig", "rep", "n", "component").join(other, "sig").where((F.col("component") != F.col("component2")) & fits(F.col("n"), F.col("n2")))
-    rest = written(rest.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct(), "rest")
+    rest = rest.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    rest = written(near(rest, classes, num, den), "rest")
     if not rest.isEmpty():
         links = links.unionByName(verified(rows, rest, width, num, den))
         part = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -275,31 +362,26 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
-def verified(rows: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs of ids ``a``, ``b`` whose sets are similar enough; sets are made again for ids in a filter of all ends."""
-    spark = rows.sparkSession
-    ends = spark.sparkContext.broadcast(filter_bits(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+def near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs without those whose parities differ in more bits than similar sets can differ in tokens."""
+    own = classes.select("rep", "n", "parity").dropDuplicates(["rep"])
+    both = pairs.join(own.toDF("a", "m", "x"), "a").join(own.toDF("b", "n", "y"), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x).cast("long")
+    return both.where(apart * (den + num) <= F.lit(den - num) * (F.col("m") + F.col("n"))).select("a", "b")
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-        bits = ends.value
-        for batch in batches:
-            at = batch["bit"].to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero(((bits[at >> 6] >> (at & 63)) & 1).astype(bool))
-            for k in range(0, len(keep), 256):
-                some = batch.take(pa.array(keep[k : k + 256]))
-                sets = shingle_sets(as_bytes(some["text"]), width)
-                yield pa.RecordBatch.from_arrays([some["id"], pa.array([as_long(s) for s in sets], schema[1].type)], schema=schema)
 
-    sets = rows.where("id is not null").withColumn("bit", bit).mapInArrow(test, "id long, tokens array<long>").where("size(tokens) > 0")
-    sets = written(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "sets")
+def verified(rows: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs of ids ``a``, ``b`` whose sets are similar enough; the sets of the ends are made again from their texts."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = written(_sets(rows, ends, width).dropDuplicates(["id"]), "sets")
     both = F.size(F.array_intersect("x", "y"))
     out = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
         .where(_similar(both, F.size("x"), F.size("y"), num, den)).select("a", "b")
     )
-    return written(out, "links")
+    out = written(out, "links")
+    dropped(sets)
+    return out
 
 
 def _similar(both: Column, m: Column, n: Column, num: int, den: int) -> Column:
