@@ -35,7 +35,7 @@ from fleetlens.llm.common import FILTER_BITS, as_bytes, as_long, dropped, filter
 from fleetlens.llm.graph import components
 
 #: Lists of a token longer than this make it frequent; longer than the second, very frequent.
-FREQUENT, VERY_FREQUENT = 32, 512
+FREQUENT, VERY_FREQUENT = 16, 256
 #: So many of the most frequent tokens are told to the workers at most; the rest count as rare, which costs time only.
 MOST_FREQUENT = 400_000
 #: Words of which a worker keeps the hash.
@@ -186,9 +186,10 @@ def _keys(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     return [sign(x & (1 << 64) - 1) for x in d], [sign(x >> 64) for x in d]
 
 
-def frequent(counts: DataFrame, known: np.ndarray) -> np.ndarray:
-    """Tokens with their counts; at most MOST_FREQUENT come to the driver."""
-    top = counts.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "sig").limit(MOST_FREQUENT).toArrow()
+def frequent(entries: DataFrame, known: np.ndarray) -> np.ndarray:
+    """Tokens (sig) of several classes (c) with their counts; at most MOST_FREQUENT come to the driver."""
+    counts = entries.groupBy("sig").agg(F.count("*").alias("count"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    top = counts.where((F.col("count") >= FREQUENT) & (F.col("lo") != F.col("hi"))).orderBy(F.desc("count"), "sig").limit(MOST_FREQUENT).toArrow()
     return np.concatenate([known, np.stack([top["sig"].to_numpy(), top["count"].to_numpy()], 1)]) if top.num_rows else known
 
 
@@ -207,14 +208,15 @@ def _unlike(heads: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            out = [np.zeros(0, np.uint64)]
+            out, cs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for c, n, s in zip(batch["c"].to_pylist(), batch["n"].to_pylist(), _lists(batch, "head"), strict=True):
                 if (c, n) not in seen:
                     seen.add((c, n))
                     out.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(out)))], names=["sig"])
+                    cs.append(np.full(len(s), c))
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(out))), pa.array(np.concatenate(cs))], names=["sig", "c"])
 
-    return heads.select("c", "n", "head").mapInArrow(run, "sig long")
+    return heads.select("c", "n", "head").mapInArrow(run, "sig long, c long")
 
 
 def _as_batch(cols: list, schema: pa.Schema) -> pa.RecordBatch:
@@ -319,7 +321,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
 
     # Which tokens are frequent is counted over the first tokens by hash of all sets, twice a prefix of rare ones. Sets of
     # which so many are frequent that the prefix goes beyond these are taken whole, and their other tokens are counted too.
-    tokens = frequent(_unlike(heads).groupBy("sig").count(), np.zeros((0, 2), np.int64))
+    tokens = frequent(_unlike(heads), np.zeros((0, 2), np.int64))
     whole: DataFrame | None = None
     for again in (False, True):
         if not len(tokens):
@@ -330,8 +332,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
             break
         more = written(_sets(rows, beyond, width), "whole")
         if not again:
-            other = more.select(F.explode(F.expr(f"slice(tokens, 1 + 2 * cast({_needed_sql(num, den)} as int), 2147483647)")).alias("sig"))
-            tokens = frequent(other.groupBy("sig").count(), tokens)
+            other = more.select("c", F.explode(F.expr(f"slice(tokens, 1 + 2 * cast({_needed_sql(num, den)} as int), 2147483647)")).alias("sig"))
+            tokens = frequent(other, tokens)
         whole = more if whole is None else whole.unionByName(more)
     index = written(_index(heads, whole, scheme, filters(tokens)), "index")
     lists = index.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
@@ -342,18 +344,24 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
     head = entries.groupBy("sig").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("members")).where("members > 1")
     head = written(head.select("sig", "members", F.col("head.rep").alias("a"), F.col("head.n").alias("an")), "heads")
     fits = lambda m, n: (F.lit(den) * F.least(m, n) >= F.lit(num) * F.greatest(m, n))
-    pairs = entries.join(head, "sig").where((F.col("rep") != F.col("a")) & fits(F.col("an"), F.col("n"))).select("a", F.col("rep").alias("b")).distinct()
+    # each member is verified against two heads of its lists: the one it shares most lists with, and the smallest
+    shared = entries.join(head, "sig").where((F.col("rep") != F.col("a")) & fits(F.col("an"), F.col("n"))).groupBy("rep", "a").agg(F.count("*").alias("lists"))
+    heads_of = shared.groupBy("rep").agg(F.max_by("a", F.struct("lists", -F.col("a"))).alias("most"), F.min("a").alias("least"))
+    pairs = heads_of.select(F.explode(F.array_distinct(F.array("most", "least"))).alias("a"), F.col("rep").alias("b"))
     links = verified(rows, written(near(pairs, classes, num, den), "pairs"), width, num, den)
-    part = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    part = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "part")
     # members of a list whose components differ from that of its head: against all others of the list
-    far = entries.join(head.where("members > 2"), "sig").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    far = entries.join(head, "sig").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     far = far.join(part.select(F.col("id").alias("a"), F.col("component").alias("of_head")), "a", "left").withColumn("of_head", F.coalesce("of_head", "a")).select("sig", "rep", "n", "component", "a", "of_head")
+    mixed = far.groupBy("sig").agg(F.max(F.col("component") != F.col("of_head")).alias("mixed")).where("mixed").select("sig")
+    far = far.join(mixed, "sig").join(classes.select("rep", "parity").dropDuplicates(["rep"]), "rep")
     far = written(far, "far")
     stray = far.where("component <> of_head")
-    other = far.where("rep <> a").select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    rest = stray.select("sig", "rep", "n", "component").join(other, "sig").where((F.col("component") != F.col("component2")) & fits(F.col("n"), F.col("n2")))
+    other = far.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("parity").alias("parity2"))
+    alike = apart("parity", "parity2") * (den + num) <= F.lit(den - num) * (F.col("n") + F.col("n2"))
+    rest = stray.select("sig", "rep", "n", "component", "parity").join(other, "sig").where((F.col("component") != F.col("component2")) & fits(F.col("n"), F.col("n2")) & alike)
     rest = rest.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    rest = written(near(rest, classes, num, den), "rest")
+    rest = written(rest, "rest")
     if not rest.isEmpty():
         links = links.unionByName(verified(rows, rest, width, num, den))
         part = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -362,12 +370,16 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
+def apart(a: str, b: str) -> Column:
+    """In how many bits two parities differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x).cast("long")
+
+
 def near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs without those whose parities differ in more bits than similar sets can differ in tokens."""
     own = classes.select("rep", "n", "parity").dropDuplicates(["rep"])
     both = pairs.join(own.toDF("a", "m", "x"), "a").join(own.toDF("b", "n", "y"), "b")
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x).cast("long")
-    return both.where(apart * (den + num) <= F.lit(den - num) * (F.col("m") + F.col("n"))).select("a", "b")
+    return both.where(apart("x", "y") * (den + num) <= F.lit(den - num) * (F.col("m") + F.col("n"))).select("a", "b")
 
 
 def verified(rows: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
