@@ -1,7 +1,7 @@
 """Ids of the public tokenizers, made word by word.
 
 A BPE never merges over the borders that its pre-tokenizer draws, so the ids of a text are those of its pre-tokens, and
-these recur: each worker keeps the ids of the words it has met (at most ``KEPT`` of them, then it starts afresh).
+these recur: each worker keeps the ids of the words it has met lately (at most two generations of ``KEPT``).
 Texts of plain ASCII and Latin-1 letters are split by ``re``; any other text, or one with the string of a special
 token, goes through the tokenizers library as a whole. Strings of special tokens are ordinary text.
 """
@@ -11,13 +11,36 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEPT = 250_000
+KEPT = 350_000
+
+
+class Lately(dict):
+    """What ``make`` gives for a key, kept for two generations of ``KEPT`` keys."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int = KEPT) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
+        return out
+
+
 #: Characters for which the fast way is known to be right: there, NFC changes nothing, lower case is one to one, and
 #: re's classes equal Unicode's.
 _OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]|<\\|")
+#: A space before other white space or at the end.
+_GAP = re.compile(r" (?:\s|\Z)")
 #: How each vocabulary file splits a text of those characters; a file that isn't named here always goes the slow way.
 _SPLITS = {
     "byte_bpe_50k.json": (False, re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+")),
@@ -45,7 +68,8 @@ class Encoder:
         self.model = self.tokenizer.model
         self.lower, self.split = _SPLITS.get(os.path.basename(path), (False, None))
         self.chars = dict(enumerate(_byte_chars()))
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = Lately(self._word, KEPT // 3)
+        self.chunks = Lately(self._chunk)
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -54,25 +78,29 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = tuple(t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.chars)))
-        if len(self.words) >= KEPT:
-            self.words.clear()
-        self.words[word] = ids
-        return ids
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.chars))]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of what stands between two spaces; byte-level pre-tokens take the space before them along."""
+        words = self.split.findall(chunk if self.lower else f" {chunk}")
+        return self._word(words[0]) if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
 
-    def ids(self, text: str) -> array:
-        """Unsigned 32-bit ids; an empty text has none."""
-        out = array("I")
+    def ids(self, text: str) -> bytes:
+        """Unsigned 32-bit ids, in the machine's order of bytes; an empty text has none.
+
+        No pre-token goes over a space that stands alone, so the ids of what lies between spaces are kept too.
+        """
         if not text:
-            return out
+            return b""
         if self.split is None or _OTHER.search(text):
-            out.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            return out
-        get, extend = self.words.get, out.extend
-        for w in self.split.findall(text.lower() if self.lower else text):
-            extend(get(w) or self._word(w))
-        return out
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.lower:
+            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+        if _GAP.search(text):
+            return b"".join(map(self.words.__getitem__, self.split.findall(text)))
+        first, *rest = text.split(" ")
+        return b"".join([*map(self.words.__getitem__, self.split.findall(first)), *map(self.chunks.__getitem__, rest)])
 
 
 def public_path(name: str) -> str:

@@ -14,7 +14,6 @@ never read.
 
 from __future__ import annotations
 
-import sys
 import zlib
 from collections.abc import Iterator
 
@@ -45,13 +44,10 @@ def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
             for row, doc, text in zip(batch["row"].to_pylist(), batch["id"].to_pylist(), batch["text"], strict=True):
-                ids = encoder.ids(text.as_py() or "")
-                ids.append(end_id)
-                if sys.byteorder != "little":
-                    ids.byteswap()
-                data = memoryview(ids).cast("B")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    n = min(capacity, len(ids) - at)
+                data = memoryview(encoder.ids(text.as_py() or "") + end_id.to_bytes(4, "little"))
+                total = len(data) // 4
+                for k, at in enumerate(range(0, total, capacity)):
+                    n = min(capacity, total - at)
                     for col, v in zip(rows, (row, doc, k, at, n, zlib.crc32(data[4 * at : 4 * (at + n)])), strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)

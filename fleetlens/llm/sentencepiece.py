@@ -23,9 +23,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fleetlens.llm.bpe import Lately
 from fleetlens.llm.common import with_text
 
-KEPT = 250_000
 MARK = "▁"
 #: What a character without a piece costs, below any piece's score.
 _UNKNOWN = -1e12
@@ -53,7 +53,7 @@ class Codec:
                 whole &= MARK not in p.lstrip(MARK)
         self.automaton.make_automaton()
         self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if whole else re.compile("(?s).+")
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = Lately(lambda w: array("I", self.viterbi(w)).tobytes())
 
     @classmethod
     def at(cls, path: str) -> Codec:
@@ -93,18 +93,8 @@ class Codec:
 
     def encode(self, text: str) -> array:
         out = array("I")
-        if not text:
-            return out
-        get = self.words.get
-        for w in self.split.findall(MARK + text.replace(" ", MARK)):
-            ids = get(w)
-            if ids is None:
-                ids = self.viterbi(w)
-                if len(w) <= 64:
-                    if len(self.words) >= KEPT:
-                        self.words.clear()
-                    self.words[w] = ids
-            out.extend(ids)
+        if text:
+            out.frombytes(b"".join(map(self.words.__getitem__, self.split.findall(MARK + text.replace(" ", MARK)))))
         return out
 
     def decode(self, ids: array) -> str:

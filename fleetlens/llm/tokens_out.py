@@ -16,7 +16,6 @@ from __future__ import annotations
 import sys
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +36,10 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa
 FILES = "file string, part int, docs long, tokens long"
 
 
-def _rows(ids: list, lens: list, flat: array) -> pa.Table:
+def _rows(ids: list, lens: list, flat: list[bytes]) -> pa.Table:
+    data = b"".join(flat)
     offsets = np.concatenate([[0], np.cumsum(np.array(lens, np.int64))]).astype(np.int32)
-    values = pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)])
+    values = pa.Array.from_buffers(pa.int32(), len(data) // 4, [None, pa.py_buffer(data)])
     lists = pa.ListArray.from_arrays(pa.array(offsets), values, type=SCHEMA[2].type)
     return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(lens, pa.int64()), lists], schema=SCHEMA)
 
@@ -59,32 +59,33 @@ def write(docs: DataFrame, path: str, folder: str, *, end_id: int = 2, encoding:
         encoder = Encoder.at(path)
         files, where = pafs.FileSystem.from_uri(folder)
         name = f"{where}/tokens-{uuid.uuid4().hex}.parquet"
-        writer, part, n_docs, n_tokens = None, 0, 0, 0
+        writer, part, n_docs, n_tokens, end = None, 0, 0, 0, end_id.to_bytes(4, "little")
         ids: list = []
-        lens: list = []
-        flat = array("I")
+        lens: list[int] = []
+        flat: list[bytes] = []
 
         def flush() -> None:
-            nonlocal writer, n_docs, n_tokens, flat
+            nonlocal writer, n_docs, n_tokens
             if not ids:
                 return
             if writer is None:
                 writer = pq.ParquetWriter(f"{name}.tmp", SCHEMA, filesystem=files, compression="zstd", version="2.6", write_page_index=True, data_page_size=PAGE_BYTES, column_encoding=plain, **options)
             writer.write_table(_rows(ids, lens, flat), row_group_size=len(ids))
-            n_docs, n_tokens = n_docs + len(ids), n_tokens + len(flat)
-            ids.clear()
-            lens.clear()
-            flat = array("I")
+            n_docs, n_tokens = n_docs + len(ids), n_tokens + sum(lens)
+            for x in (ids, lens, flat):
+                x.clear()
 
+        held = 0
         for batch in batches:
             for doc, text, part in zip(batch["id"].to_pylist(), batch["text"], batch["part"].to_pylist(), strict=True):  # noqa: B007
-                got = encoder.ids(text.as_py() or "")
-                got.append(end_id)
+                got = encoder.ids(text.as_py() or "") + end
                 ids.append(doc)
-                lens.append(len(got))
-                flat.extend(got)
-                if len(flat) >= GROUP_TOKENS:
+                lens.append(len(got) // 4)
+                flat.append(got)
+                held += lens[-1]
+                if held >= GROUP_TOKENS:
                     flush()
+                    held = 0
         flush()
         if writer is None:
             return
