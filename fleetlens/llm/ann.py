@@ -30,7 +30,7 @@ from fleetlens.llm.neardup import dot, usable
 
 SAMPLE, MOST_LISTS, PROBE, RERANK = 20_000, 1024, 0.75, 120
 #: Vectors in a shard and queries in a block.
-SHARD, BLOCK = 16_384, 2_048
+SHARD, BLOCK = 32_768, 1_024
 
 
 def search(vectors: DataFrame, is_query: Column, *, k: int = 20, probe: float = PROBE, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -75,6 +75,8 @@ def _candidates(own: DataFrame, asked: DataFrame, d: int, k: int, probe: float,
         books[m, len(book) :] = book[0] if len(book) else 0
     held = spark.sparkContext.broadcast((centres.astype(np.float32), books))  # 1024 x d floats and 256 x d at most
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-queries // BLOCK))
+    # of a query's best, about as many are in each shard, as vectors are dealt by a hash; four deviations more are taken
+    best = min(rerank, int(np.ceil(rerank / shards + 4 * (rerank / shards) ** 0.5 + 8)))
     take = min(lists, int(np.ceil(probe * lists)))
 
     def file(batches):  # noqa: ANN001, ANN202
@@ -114,7 +116,7 @@ def _candidates(own: DataFrame, asked: DataFrame, d: int, k: int, probe: float,
             score[~probed[:, at[on]]] = -np.inf
             for m in range(spaces):
                 score += tables[m][:, codes[on, m]]
-            top = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank] if score.shape[1] > rerank else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+            top = np.argpartition(-score, best - 1, axis=1)[:, :best] if score.shape[1] > best else np.broadcast_to(np.arange(score.shape[1]), score.shape)
             s = np.take_along_axis(score, top, 1)
             keep = np.isfinite(s)
             out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), keep.sum(1)), "c": reps[on][top[keep]], "s": s[keep]}))
