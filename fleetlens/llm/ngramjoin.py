@@ -42,6 +42,8 @@ MOST_FREQUENT = 400_000
 KEPT = 200_000
 #: Bits of the parity of a set, by which most pairs are ruled out without their tokens.
 PARITY = 1024
+#: Bits of the folded parity that goes along with list entries.
+SKETCH = 256
 
 
 class _Words(dict):
@@ -224,9 +226,17 @@ def _as_batch(cols: list, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
-    """For each of PARITY bits whether an odd number of tokens fall on it: two sets differ in as many tokens at least as bits."""
-    odd = (np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1).astype(bool)
-    return np.packbits(odd).view(np.int64)
+    """For each of so many bits whether an odd number of tokens fall on it: two sets differ in as many tokens at least as bits.
+
+    There are twice as many bits as tokens about, PARITY at least; a longer parity folds into a shorter one.
+    """
+    bits = max(PARITY, 1 << int(2 * len(s)).bit_length()) if len(s) else PARITY
+    odd = np.bincount((s >> np.uint64(32)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def _fold(parity: np.ndarray, longs: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(parity.reshape(-1, longs), axis=0)
 
 
 _INDEX = pa.schema([("sig", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
@@ -311,11 +321,12 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
 
     def sizes(ids: list, sets: list[np.ndarray]) -> list:
         heads = [s[: 2 * scheme.needed(len(s))] if len(s) and not scheme.alone(len(s)) else s[:0] for s in sets]
-        return [ids, [len(s) for s in sets], *_keys(sets), [_parity(s) for s in sets], [as_long(h) for h in heads]]
+        parities = [_parity(s) for s in sets]
+        return [ids, [len(s) for s in sets], *_keys(sets), parities, [_fold(x, SKETCH // 64) for x in parities], [as_long(h) for h in heads]]
 
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("c2", pa.int64()), ("parity", pa.list_(pa.int64())), ("head", pa.list_(pa.int64()))])
-    sized = written(_over(rows, width, sizes, schema, "id long, n long, c long, c2 long, parity array<long>, head array<long>"), "sized")
-    classes = sized.where("n > 0 and id is not null").groupBy("n", "c", "c2").agg(F.min("id").alias("rep"), F.any_value("parity").alias("parity"))
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("c2", pa.int64()), ("parity", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("head", pa.list_(pa.int64()))])
+    sized = written(_over(rows, width, sizes, schema, "id long, n long, c long, c2 long, parity array<long>, sketch array<long>, head array<long>"), "sized")
+    classes = sized.where("n > 0 and id is not null").groupBy("n", "c", "c2").agg(F.min("id").alias("rep"), F.any_value("parity").alias("parity"), F.any_value("sketch").alias("sketch"))
     classes = written(classes, "classes")
     heads = sized.where("size(head) > 0 and id is not null").select("id", "n", "c", "head")
 
@@ -336,9 +347,9 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
             tokens = frequent(other, tokens)
         whole = more if whole is None else whole.unionByName(more)
     index = written(_index(heads, whole, scheme, filters(tokens)), "index")
-    lists = index.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    lists = written(index.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig"), "lists")
     # entries of lists with two classes or more, by representative
-    entries = index.join(lists.select("sig"), "sig").join(classes.select("c", "n", "rep"), ["c", "n"]).select("sig", "rep", "n").distinct()
+    entries = _maybe(index, lists).join(lists, "sig").join(classes.select("c", "n", "rep"), ["c", "n"]).select("sig", "rep", "n").distinct()
     entries = written(entries, "entries")
     dropped(index)
     head = entries.groupBy("sig").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("members")).where("members > 1")
@@ -354,14 +365,14 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
     far = entries.join(head, "sig").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     far = far.join(part.select(F.col("id").alias("a"), F.col("component").alias("of_head")), "a", "left").withColumn("of_head", F.coalesce("of_head", "a")).select("sig", "rep", "n", "component", "a", "of_head")
     mixed = far.groupBy("sig").agg(F.max(F.col("component") != F.col("of_head")).alias("mixed")).where("mixed").select("sig")
-    far = far.join(mixed, "sig").join(classes.select("rep", "parity").dropDuplicates(["rep"]), "rep")
+    far = far.join(mixed, "sig").join(classes.select("rep", "sketch").dropDuplicates(["rep"]), "rep")
     far = written(far, "far")
     stray = far.where("component <> of_head")
-    other = far.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("parity").alias("parity2"))
-    alike = apart("parity", "parity2") * (den + num) <= F.lit(den - num) * (F.col("n") + F.col("n2"))
-    rest = stray.select("sig", "rep", "n", "component", "parity").join(other, "sig").where((F.col("component") != F.col("component2")) & fits(F.col("n"), F.col("n2")) & alike)
+    other = far.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("sketch").alias("sketch2"))
+    alike = apart("sketch", "sketch2") * (den + num) <= F.lit(den - num) * (F.col("n") + F.col("n2"))
+    rest = stray.select("sig", "rep", "n", "component", "sketch").join(other, "sig").where((F.col("component") != F.col("component2")) & fits(F.col("n"), F.col("n2")) & alike)
     rest = rest.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    rest = written(rest, "rest")
+    rest = written(near(rest, classes, num, den), "rest")
     if not rest.isEmpty():
         links = links.unionByName(verified(rows, rest, width, num, den))
         part = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -378,8 +389,30 @@ def apart(a: str, b: str) -> Column:
 def near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs without those whose parities differ in more bits than similar sets can differ in tokens."""
     own = classes.select("rep", "n", "parity").dropDuplicates(["rep"])
-    both = pairs.join(own.toDF("a", "m", "x"), "a").join(own.toDF("b", "n", "y"), "b")
-    return both.where(apart("x", "y") * (den + num) <= F.lit(den - num) * (F.col("m") + F.col("n"))).select("a", "b")
+    both = pairs.join(own.toDF("a", "m", "x"), "a").join(own.toDF("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(batch["m"].to_pylist(), batch["n"].to_pylist(), _lists(batch, "x"), _lists(batch, "y"), strict=True):
+                k = min(len(x), len(y))
+                differ = int(np.bitwise_count(_fold(x, k) ^ _fold(y, k)).sum())
+                keep.append(differ * (den + num) <= (den - num) * (m + n))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _maybe(index: DataFrame, lists: DataFrame) -> DataFrame:
+    """The entries without most of those that are alone in their list: a filter of the lists that stay, before the join."""
+    held = index.sparkSession.sparkContext.broadcast(filter_bits(lists, "sig"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch["bit"].to_numpy(zero_copy_only=False)
+            yield batch.select(["sig", "c", "n"]).filter(pa.array(((held.value[at >> 6] >> (at & 63)) & 1).astype(bool)))
+
+    return index.withColumn("bit", F.pmod(F.xxhash64("sig"), F.lit(FILTER_BITS))).mapInArrow(run, "sig long, c long, n long")
 
 
 def verified(rows: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
