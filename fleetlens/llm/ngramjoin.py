@@ -99,6 +99,10 @@ class Scheme:
         """What a prefix must cover."""
         return n - -(-self.num * n // self.den) + 1
 
+    def head(self, n: int) -> int:
+        """First tokens by hash that are kept and counted: half as many again as a prefix of rare ones."""
+        return self.needed(n) + self.needed(n) // 2
+
     def alone(self, n: int) -> bool:
         """Only an equal set can be similar enough to one of this size."""
         return self.den * n < self.num * (n + 1)
@@ -190,7 +194,8 @@ def _keys(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
 
 def frequent(entries: DataFrame, known: np.ndarray) -> np.ndarray:
     """Tokens (sig) of several classes (c) with their counts; at most MOST_FREQUENT come to the driver."""
-    counts = entries.groupBy("sig").agg(F.count("*").alias("count"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    part = F.col("c").bitwiseAND(0x7FFFFFFF).cast("int")  # enough to tell whether there are several, and short
+    counts = entries.groupBy("sig").agg(F.count("*").alias("count"), F.min(part).alias("lo"), F.max(part).alias("hi"))
     top = counts.where((F.col("count") >= FREQUENT) & (F.col("lo") != F.col("hi"))).orderBy(F.desc("count"), "sig").limit(MOST_FREQUENT).toArrow()
     return np.concatenate([known, np.stack([top["sig"].to_numpy(), top["count"].to_numpy()], 1)]) if top.num_rows else known
 
@@ -320,7 +325,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
     rows = with_text(docs, id_col, text_col)
 
     def sizes(ids: list, sets: list[np.ndarray]) -> list:
-        heads = [s[: 2 * scheme.needed(len(s))] if len(s) and not scheme.alone(len(s)) else s[:0] for s in sets]
+        heads = [s[: scheme.head(len(s))] if len(s) and not scheme.alone(len(s)) else s[:0] for s in sets]
         parities = [_parity(s) for s in sets]
         return [ids, [len(s) for s in sets], *_keys(sets), parities, [_fold(x, SKETCH // 64) for x in parities], [as_long(h) for h in heads]]
 
@@ -330,7 +335,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
     classes = written(classes, "classes")
     heads = sized.where("size(head) > 0 and id is not null").select("id", "n", "c", "head")
 
-    # Which tokens are frequent is counted over the first tokens by hash of all sets, twice a prefix of rare ones. Sets of
+    # Which tokens are frequent is counted over the first tokens by hash of all sets, half as many again as a prefix of rare ones. Sets of
     # which so many are frequent that the prefix goes beyond these are taken whole, and their other tokens are counted too.
     tokens = frequent(_unlike(heads), np.zeros((0, 2), np.int64))
     whole: DataFrame | None = None
@@ -343,7 +348,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
             break
         more = written(_sets(rows, beyond, width), "whole")
         if not again:
-            other = more.select("c", F.explode(F.expr(f"slice(tokens, 1 + 2 * cast({_needed_sql(num, den)} as int), 2147483647)")).alias("sig"))
+            other = more.select("c", F.explode(F.expr(f"slice(tokens, 1 + cast({_needed_sql(num, den)} + {_needed_sql(num, den)} div 2 as int), 2147483647)")).alias("sig"))
             tokens = frequent(other, tokens)
         whole = more if whole is None else whole.unionByName(more)
     index = written(_index(heads, whole, scheme, filters(tokens)), "index")
