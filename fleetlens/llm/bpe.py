@@ -13,6 +13,8 @@ import re
 from array import array
 from collections.abc import Callable
 
+from fleetlens.llm.common import claim
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 KEPT = 350_000
@@ -74,6 +76,7 @@ class Encoder:
     @classmethod
     def at(cls, path: str) -> Encoder:
         """One a worker process: it lives as long as the worker."""
+        claim("bpe", cls._made.clear)
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]

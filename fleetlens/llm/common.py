@@ -6,6 +6,8 @@ reread, never a rerun of the whole lineage. Only where that setting is missing,
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -56,6 +58,24 @@ def dropped(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, release: Callable[[], None] = lambda: None) -> None:
+    """Tasks call this first. A worker lives on from stage to stage: what another operator keeps in it is released, and
+    the memory goes back to the system, so a worker holds the caches of one operator, not the sum of all.
+    """
+    others = [k for k in _held if k != owner]
+    for k in others:
+        _held.pop(k)()
+    _held[owner] = release
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -71,6 +91,7 @@ def rows_kept(df: DataFrame, text_col: str, keep: Callable[[list[bytes | None]],
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("rows_kept")
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)

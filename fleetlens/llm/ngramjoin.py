@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import FILTER_BITS, as_bytes, as_long, dropped, filter_bits, mix64, with_text, written
+from fleetlens.llm.common import FILTER_BITS, as_bytes, as_long, claim, dropped, filter_bits, mix64, with_text, written
 from fleetlens.llm.graph import components
 
 #: Lists of a token longer than this make it frequent; longer than the second, very frequent.
@@ -171,6 +171,7 @@ def _over(rows: DataFrame, width: int, emit: Callable[[list, list[np.ndarray]],
     """Each batch's ids and sets through ``emit``; at most some MB of text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngramjoin", _words.clear)
         for batch in batches:
             ids, texts = batch["id"].to_pylist(), as_bytes(batch["text"])
             at = 0
@@ -305,6 +306,7 @@ def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngramjoin", _words.clear)
         bits = wanted.value
         for batch in batches:
             at = batch["bit"].to_numpy(zero_copy_only=False)

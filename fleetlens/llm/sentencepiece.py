@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fleetlens.llm.bpe import Lately
-from fleetlens.llm.common import with_text
+from fleetlens.llm.common import claim, with_text
 
 MARK = "▁"
 #: What a character without a piece costs, below any piece's score.
@@ -57,6 +57,7 @@ class Codec:
 
     @classmethod
     def at(cls, path: str) -> Codec:
+        claim("sentencepiece", cls._made.clear)
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]

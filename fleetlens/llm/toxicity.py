@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import as_bytes, rows_kept, with_text
+from fleetlens.llm.common import as_bytes, claim, rows_kept, with_text
 from fleetlens.llm.optimise import minimise, sigmoid
 from fleetlens.llm.quality import held_out, sampled_labels
 
@@ -265,6 +265,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, folds:
     model = spark.sparkContext.broadcast(train(docs, labels, folds=folds, fold=fold, sample=sample, id_col=id_col, text_col=text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         find = _Hits(model.value.terms)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(score_texts(model.value, as_bytes(batch["text"]), find))], names=["id", "score"])
