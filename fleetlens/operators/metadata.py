@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from fleetlens.functions.text import version_key
 from fleetlens.sources.tree import METADATA, folders, in_scope, is_metadata, parts
 
-_RELATIONS = "map<string,struct<interface:string,optional:string>>"
-DOC = f"name string, subordinate string, containers map<string,string>, provides {_RELATIONS}, requires {_RELATIONS}, peers {_RELATIONS}, config struct<options:map<string,struct<type:string>>>, parts map<string,struct<plugin:string>>, base string, `build-base` string, bases array<string>, assumes string"
+#: Values of maps stay JSON text: one that isn't a mapping must not spoil its neighbours.
+_RELATIONS = "map<string,string>"
+DOC = f"name string, subordinate string, containers map<string,string>, provides {_RELATIONS}, requires {_RELATIONS}, peers {_RELATIONS}, config struct<options:map<string,string>>, parts map<string,string>, base string, `build-base` string, bases array<string>, assumes string"
 ROLES = ("provides", "requires", "peers")
 #: An option that looks like a secret, a version that is asked for, a layer that is made in code.
 SECRET = "(?i)(password|token|secret|api[-_]?key)$"
@@ -32,7 +33,7 @@ def described(docs: DataFrame) -> DataFrame:
 
 def relations(own: DataFrame) -> DataFrame:
     """``slug, path, rank, ord, name, role, interface, optional``; a relation without a mapping has the interface ''."""
-    of = lambda k, role: F.transform(F.map_entries(F.coalesce(F.col(f"d.{role}"), F.create_map().cast(_RELATIONS))), lambda e, i: F.struct((i + 1000000 * k).alias("ord"), e["key"].alias("name"), F.lit(role).alias("role"), F.coalesce(e["value"]["interface"], F.lit("")).alias("interface"), (F.lower(F.coalesce(e["value"]["optional"], F.lit(""))) == "true").alias("optional")))
+    of = lambda k, role: F.transform(F.map_entries(F.coalesce(F.col(f"d.{role}"), F.create_map().cast(_RELATIONS))), lambda e, i: F.struct((i + 1000000 * k).alias("ord"), e["key"].alias("name"), F.lit(role).alias("role"), F.coalesce(F.get_json_object(e["value"], "$.interface"), F.lit("")).alias("interface"), (F.lower(F.coalesce(F.get_json_object(e["value"], "$.optional"), F.lit(""))) == "true").alias("optional")))
     return own.select("slug", "path", "rank", F.explode(F.concat(*(of(k, r) for k, r in enumerate(ROLES)))).alias("r")).select("slug", "path", "rank", "r.*")
 
 
@@ -50,9 +51,9 @@ def _base(b: Column) -> Column:
 
 def from_documents(docs: DataFrame) -> DataFrame:
     own = described(docs)
-    options = F.coalesce(F.col("d.config.options"), F.create_map().cast("map<string,struct<type:string>>"))
-    of_type = F.transform(F.filter(F.map_entries(options), lambda e: e["value"]["type"] == "secret"), lambda e: e["key"])
-    plugins = F.filter(F.transform(F.map_values(F.coalesce("d.parts", F.create_map().cast("map<string,struct<plugin:string>>"))), lambda p: p["plugin"]), lambda p: p.isNotNull())
+    options = F.coalesce(F.col("d.config.options"), F.create_map().cast(_RELATIONS))
+    of_type = F.transform(F.filter(F.map_entries(options), lambda e: F.get_json_object(e["value"], "$.type") == "secret"), lambda e: e["key"])
+    plugins = F.filter(F.transform(F.map_values(F.coalesce("d.parts", F.create_map().cast(_RELATIONS))), lambda p: F.get_json_object(p, "$.plugin")), lambda p: p.isNotNull())
     bases = F.filter(F.concat(F.array("d.base", "d.`build-base`"), F.transform(F.coalesce("d.bases", F.array().cast(_NONE)), _base)), lambda b: F.coalesce(b, F.lit("")) != "")
     versions = F.regexp_extract_all(F.coalesce("d.assumes", F.lit("")), F.lit(JUJU), F.lit(1))
     least = F.array_min(F.transform(versions, lambda v: F.struct(version_key(v).alias("k"), v.alias("v"))))["v"]
