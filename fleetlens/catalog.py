@@ -299,3 +299,36 @@ def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def call_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = facts(spark, sf_dir).where("score = 'worth-considering'").join(units(spark, sf_dir).select("slug", "unit_ord"), "slug").withColumn("hit", F.col("unit_ord") % 3 == 0)
     return refine.capped(c, ["unit_ord", "feature_ord"], ~F.col("hit"), 40).select("slug", "feature", "hit")
+
+
+# Labels by the rules; features by number, units by flags.
+
+RULES = """
+    r as (
+        select slug, unit_ord, is_reactive, is_legacy_classic, reconcile, has_containers, f, unit_ord % 4 = 0 and f = 'ops.status-set-directly' as present
+        from u, (select unnest(['ops.status-set-directly', 'ops.collect-status', 'ops.pebble-ready', 'pebble.checks', 'ops.relation-app-data', 'ops.stored-state', 'jubilant.integration-tests', 'other']) as f)
+    )
+"""
+
+
+@query(f"""
+    with {FLEET}, {RULES}
+    select slug, f as feature, case
+        when present then null when is_reactive or is_legacy_classic then 'not-applicable'
+        when f in ('ops.pebble-ready', 'ops.collect-status') and reconcile then 'not-applicable'
+        when f = 'pebble.checks' and has_containers then 'worth-considering' when f = 'ops.pebble-ready' and has_containers then 'clear-gap'
+        when f = 'ops.relation-app-data' and unit_ord % 6 = 0 then 'worth-considering'
+        when f = 'ops.collect-status' then case when unit_ord % 4 = 0 or unit_ord % 6 = 0 then 'clear-gap' else 'worth-considering' end
+        when f = 'jubilant.integration-tests' and unit_ord % 8 = 0 then 'worth-considering' else 'not-applicable' end as score
+    from r
+""")
+def rule_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetlens.operators import scoring
+
+    names = ["ops.status-set-directly", "ops.collect-status", "ops.pebble-ready", "pebble.checks", "ops.relation-app-data", "ops.stored-state", "jubilant.integration-tests", "other"]
+    relation = F.struct(F.lit("db").alias("name"), F.lit("requires").alias("role"), F.lit("pg").alias("interface"))
+    none, k = F.array().cast("array<string>"), F.col("unit_ord")
+    u = units(spark, sf_dir).withColumns({"relations": F.when(k % 6 == 0, F.array(relation)).otherwise(F.array().cast("array<struct<name:string,role:string,interface:string>>")), "has_integration_tests": k % 8 == 0, "secret_like_config": none, "secret_typed_config": none})
+    own = u.select("slug", F.explode(F.array(*map(F.lit, names))).alias("feature"), "unit_ord")
+    own = own.select("slug", "feature", ((k % 4 == 0) & (F.col("feature") == names[0])).alias("present"), F.lit(None).cast("string").alias("score"), F.lit(None).cast("string").alias("rationale"))
+    return scoring.scored(own, u).select("slug", "feature", "score")
