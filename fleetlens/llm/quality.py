@@ -80,8 +80,8 @@ def line_features(lines: list[bytes]) -> np.ndarray:
         words = line.split()
         m = len(words)
         same = sum(map(bytes.__eq__, words, words[1:]))
-        marked = sum(not (w[-1:].isalnum() or w[-1] >= 0x80 or w[-1:] in b".,;:?'\")") for w in words[:400])
-        rows[i] = m, same / m, len(set(words)) / m, marked / min(m, 400), line.rstrip()[-1:] in b".?", line in seen, (n[i] - m + 1) / m
+        marked = sum(not (w[-1:].isalnum() or w[-1] >= 0x80 or w[-1:] in b".,;:?'\")") for w in words)
+        rows[i] = m, same / m, len(set(words)) / m, marked / m, line.rstrip()[-1:] in b".?", line in seen, (n[i] - m + 1) / m
         seen.add(line)
     measures = {
         "upper": count[1] / n, "symbols": count[2] / n, "bars": count[3] / n, "bangs": count[4] / n, "digits": count[5] / n, "punctuation": count[6] / n,

@@ -247,6 +247,12 @@ def test_classifiers_take_odd_rows(spark, docs):
         assert module.scored(docs.limit(0), labels).count() == 0
 
 
+def test_marked_words_of_a_long_line_all_count():
+    start = list(quality.RANGES).index("marked_words")
+    plain, late = quality.line_features([b"word " * 1000, b"word " * 400 + b"wo#rd# " * 600])[:, start]
+    assert late - plain == len(quality.RANGES["marked_words"])
+
+
 def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(4)
     score, moves = rng.normal(size=5), rng.normal(size=(2, 2))
