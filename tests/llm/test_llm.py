@@ -228,6 +228,17 @@ def test_nearest_neighbours(spark, vectors):
     assert ann.search(vectors.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n", [16, 20, 24, 28, 60])
+def test_nearest_neighbours_of_few_vectors(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, F.col("id") < 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    x = x.astype(np.float64)
+    assert got == {i: [int(j) for j in np.argsort(-(x @ x[i]), kind="stable") if j != i][:20] for i in range(5)}
+
+
 @pytest.mark.parametrize(("module", "label", "folds", "fold"), [(quality, "quality", 5, 0), (toxicity, "toxic", 3, 1)])
 def test_classifiers_on_held_out_labels(spark, module, label, folds, fold):
     data = "/root/testdata/sf0.1"
