@@ -33,11 +33,22 @@ def _runs(c: str, from_end: bool) -> Column:
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(c, (n - i + 1) if from_end else F.lit(1), i), "."))
 
 
-def imports(py: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted``: owner, det_ord, module, names. With names only ``from`` imports of one of them count; a statement counts once."""
+def own_libraries(units: DataFrame) -> DataFrame:
+    """``slug, pkg``: the library packages that a unit provides itself, told by its name and its folder lib/charms/pkg. ``units``: as of ``metadata.unit_facts``."""
+    return units.where("provides_own_library").select("slug", F.replace("charm_name", F.lit("-"), F.lit("_")).alias("pkg"))
+
+
+def imports(py: DataFrame, wanted: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """``wanted``: owner, det_ord, module, names. With names only ``from`` imports of one of them count; a statement counts once.
+
+    ``own``: slug, pkg, of ``own_libraries``. For modules charms.pkg of these a unit shows nothing: it is their provider.
+    """
     rows = py.where("kind in ('import', 'from')").withColumn("dotted", F.split("module", r"\.")).drop("module")
     rows = rows.withColumn("module", F.explode(_runs("dotted", False))).join(wanted.withColumnRenamed("names", "only"), "module")
     rows = rows.where(F.col("only").isNull() | ((F.col("kind") == "from") & F.arrays_overlap("names", "only")))
+    if own is not None:
+        pkg = F.when(F.col("module").startswith("charms."), F.split("module", r"\.")[1])
+        rows = rows.withColumn("pkg", pkg).join(own.select("slug", "pkg"), ["slug", "pkg"], "left_anti")
     return _evidence(rows.groupBy(*KEYS, "ord").agg(F.min("line").alias("line"), F.min("snippet").alias("snippet")), "import")
 
 

@@ -135,3 +135,11 @@ def test_overrides(spark, tmp_path):
     got = tables.overrides(spark, str(tmp_path / "o.yaml"))
     assert rows(got["exclude"], "url", "reason") == [("a", "r")] and rows(got["feature"], "sub_path", "feature") == [("", "f"), ("", "g")]
     assert tables.overrides(spark, None)["sub"].count() == 0
+
+
+def test_own_library_is_no_evidence(spark):
+    units = spark.createDataFrame([("u", "my-lib", True), ("v", "other", False), ("w", None, False)], "slug string, charm_name string, provides_own_library boolean")
+    code = "from charms.my_lib.v0 import x\nimport charms.other.v0\n"
+    py = extract.python_facts(spark.createDataFrame([(s, "src/charm.py", code) for s in "uvw"], "slug string, path string, text string"))
+    want = spark.createDataFrame([("a", 0, "charms.my_lib.v0", None), ("b", 0, "charms.other", None)], "owner string, det_ord int, module string, names array<string>")
+    assert rows(detect.imports(py, want, detect.own_libraries(units)), "slug", "owner") == [("u", "b"), ("v", "a"), ("v", "b"), ("w", "a"), ("w", "b")]
