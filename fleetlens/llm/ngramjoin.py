@@ -441,13 +441,41 @@ def _similar(both: Column, m: Column, n: Column, num: int, den: int) -> Column:
 
 
 def one_of_each(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, without those that a smaller id stands for; of rows that share an id, one.
+    """The documents, with all their columns, without those that a smaller id stands for; of rows that share id and text, one.
 
-    Rows with a null id stay.
+    Rows with a null id stay. Where rows share an id but not the text, each text is a node of its own, by a 64-bit hash of
+    both, and only the texts that another stands for go.
     """
+    rows = with_text(docs, id_col, text_col).where("id is not null")
+    twice = written(rows.groupBy("id").count().where("count > 1").select("id"), "twice")
+    repeated = not twice.isEmpty()
+    if repeated:
+        of_text = rows.join(twice, "id").select("id", _text_hash("id", "text").alias("h"))
+        unlike = written(of_text.groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("id"), "unlike")
+        if not unlike.isEmpty():
+            return _one_of_each_text(docs, unlike, width, num, den, id_col, text_col)
     part = written(jaccard_components(docs, width=width, num=num, den=den, id_col=id_col, text_col=text_col).where("doc_id is not null"), "components")
     gone = part.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     out = docs.join(gone, id_col, "left_anti")
-    if part.groupBy("doc_id").count().where("count > 1").isEmpty():
+    if not repeated:
         return out
     return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
+
+
+def _text_hash(id_col: str, text_col: str) -> Column:
+    """Of id and text; all texts without words are one."""
+    text = F.col(text_col).cast("string")
+    return F.xxhash64(F.col(id_col).cast("long"), F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(""))
+
+
+def _one_of_each_text(docs: DataFrame, unlike: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """``one_of_each`` where the rows of the ids ``unlike`` are nodes by their texts."""
+    own = F.col(id_col).cast("long")
+    nodes = docs.join(unlike.select(F.col("id").alias("_unlike")), own == F.col("_unlike"), "left")
+    nodes = nodes.withColumn("_node", F.when(F.col("_unlike").isNotNull(), _text_hash(id_col, text_col)).otherwise(own)).drop("_unlike")
+    part = written(jaccard_components(nodes, width=width, num=num, den=den, id_col="_node", text_col=text_col).where("doc_id is not null"), "components")
+    ids = nodes.where("_node is not null").select("_node", own.alias("id")).distinct()
+    of = part.select(F.col("doc_id").alias("_node"), "component_id").distinct().join(ids, "_node")
+    stay = of.groupBy("component_id").agg(F.min(F.struct("id", "_node"))["_node"].alias("_node")).select("_node")
+    out = nodes.where("_node is not null").join(stay, "_node", "left_semi").dropDuplicates(["_node"]).unionByName(nodes.where("_node is null"))
+    return out.select(*docs.columns)
