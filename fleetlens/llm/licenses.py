@@ -3,7 +3,8 @@
 Each template is a sequence of words. The rolling hashes of all word k-grams of a document are joined with the places of
 the same k-grams in the templates. A hit at word ``i`` of the document and word ``j`` of a template votes for the diagonal
 ``i - j`` of that template in that document; votes are counted by diagonal, diagonals that differ by a few words (a word
-more or less in the text) are merged, and the merged spans are verified word by word against the template. The worker
+more or less in the text) are merged, and the merged spans, however few votes they have, are verified word by word
+against the template, as changed words that are spread out break most k-grams. The worker
 that makes the hashes leaves out those that no template has, which are the ones the join would drop.
 
 Base phrases are templates that must stand word for word; notices are longer templates with labels of their own that may
@@ -113,7 +114,7 @@ def scan(docs: DataFrame, *, base: dict[str, str] = BASE, notices: dict[str, str
     # notices: neighbouring diagonals are one span if none is further than NEAR from the last
     w = Window.partitionBy("row", "t").orderBy("d")
     near = diagonals.where(~F.col("exact")).withColumn("new", F.coalesce((F.col("d") - F.lag("d").over(w) > NEAR).cast("int"), F.lit(1))).withColumn("span", F.sum("new").over(w))
-    spans = near.groupBy("row", "t", "size", "label", "span").agg(F.min("d").alias("from"), F.max("d").alias("to"), F.sum("n").alias("n")).where(F.col("n") >= F.lit(0.5) * (F.col("size") - NOTICE_K))
+    spans = near.groupBy("row", "t", "size", "label", "span").agg(F.min("d").alias("from"), F.max("d").alias("to"), F.sum("n").alias("n"))
     length = {t: [vocabulary[x] for x in ws] for t, ws, _, e in templates if not e}
     span_rows = spans.groupBy("row").agg(F.collect_list(F.struct("t", "label", "from", "to")).alias("spans"))
     schema = pa.schema([("row", pa.int64()), ("label", pa.list_(pa.string())), ("share", pa.list_(pa.float64()))])
