@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import written
 from fleetlens.llm.kmeans import kmeans
-from fleetlens.llm.neardup import dot, usable
+from fleetlens.llm.neardup import dot, over_lengths, usable
 
 SAMPLE, MOST_LISTS, PROBE, RERANK = 20_000, 1024, 0.75, 120
 #: Vectors in a shard and queries in a block.
@@ -43,10 +43,10 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, probe: float =
     least = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     classes = written(least.groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("members")).withColumn("d", F.size("v")), "vectors")
     asking = written(rows.where(is_query).join(classes.select("v", "rep"), "v").select("id", "rep"), "queries")
-    best = spark.createDataFrame([], "q long, c long")
-    for d in sorted(r["d"] for r in classes.select("d").distinct().limit(1000).collect()):
-        own = classes.where(F.col("d") == d)
-        best = best.unionByName(_candidates(own, own.join(asking.select("rep").distinct(), "rep", "left_semi"), d, k, probe, rerank))
+    best = over_lengths(
+        classes, spark.createDataFrame([], "q long, c long"),
+        lambda own, d: _candidates(own, own.join(asking.select("rep").distinct(), "rep", "left_semi"), d, k, probe, rerank),
+    )
     whole = classes.select("rep", "v")
     scored = best.join(whole.select(F.col("rep").alias("q"), F.col("v").alias("x")), "q").join(whole.select(F.col("rep").alias("c"), F.col("v").alias("y")), "c")
     scored = scored.select("q", "c", dot("x", "y").alias("score"))

@@ -1,8 +1,8 @@
 """Operator 5, embedding near-dedup: iterative quantisation and multi-index Hamming tables, reranked exactly.
 
 On a bounded sample of unit vectors (``SAMPLE`` rows, chosen by hash) rotations are learned that balance binary codes:
-the sign of each rotated, centred coordinate is a bit. Two rotations from different starts give 2 x d bits, cut into
-chunks of ``CHUNK`` bits. Each chunk is a table: a vector is stored under its chunk, and looked up under its chunk and
+the sign of each rotated, centred coordinate is a bit. Two rotations from different starts give 2 x d bits; for short
+vectors random rotations are added until there are ``TABLES`` chunks. The bits are cut into chunks of ``CHUNK`` bits. Each chunk is a table: a vector is stored under its chunk, and looked up under its chunk and
 all chunks that differ in one bit, within its label. A pair found in several tables is kept in the first only, which its
 codes tell without a shuffle; pairs whose codes differ in more than ``FAR`` of their bits go; all others are
 verified on the original vectors in double precision. At a cosine of 0.93 a bit differs with probability 0.12, and a pair
@@ -18,7 +18,8 @@ are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from fleetlens.llm.graph import components
 from fleetlens.llm.kmeans import iterative_quantisation
 
 SAMPLE, CHUNK, ROTATIONS, FAR = 20_000, 12, 2, 0.36
+#: Tables at least, whatever the vectors' length; lengths whose results are gathered in one plan.
+TABLES, TOGETHER = 10, 50
 
 
 def usable(vector: str) -> Column:
@@ -42,15 +45,23 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def over_lengths(classes: DataFrame, empty: DataFrame, find: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """The union of ``find(classes of length d, d)`` over all lengths ``d``; of many lengths parts are written, so plans stay small."""
+    lengths = sorted(r["d"] for r in classes.select("d").distinct().collect())
+    parts = [empty]
+    for a in range(0, len(lengths), TOGETHER):
+        part = reduce(DataFrame.unionByName, [find(classes.where(F.col("d") == d), d) for d in lengths[a : a + TOGETHER]])
+        parts.append(written(part, "lengths") if len(lengths) > TOGETHER else part)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept``; links join vectors of equal labels with a cosine of ``threshold`` or more."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), F.col(label_col).cast("string").alias("label"))
     fit = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable("v"))
     classes = written(fit.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("d", F.size("v")), "vectors")
-    links = spark.createDataFrame([], "a long, b long, na long, nb long")
-    for d in sorted(r["d"] for r in classes.select("d").distinct().limit(1000).collect()):
-        links = links.unionByName(_links(classes.where(F.col("d") == d), d, threshold))
+    links = over_lengths(classes, spark.createDataFrame([], "a long, b long, na long, nb long"), lambda own, d: _links(own, d, threshold))
     links = written(links, "links")
     part = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     ends = links.select(F.col("a").alias("rep"), F.col("nb").alias("n")).unionByName(links.select(F.col("b").alias("rep"), F.col("na").alias("n")))
@@ -70,8 +81,10 @@ def _links(classes: DataFrame, d: int, threshold: float) -> DataFrame:
     x = np.array(sample["v"].to_pylist(), np.float64).reshape(-1, d)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     mean = x.mean(0) if len(x) else np.zeros(d)
-    held = spark.sparkContext.broadcast((mean, np.hstack([iterative_quantisation(x - mean, seed=s) for s in range(ROTATIONS)])))
-    bits = ROTATIONS * d
+    rotations = max(ROTATIONS, -(-TABLES * CHUNK // d))
+    # learned ones may end alike where there are few dimensions; without rows they are random
+    held = spark.sparkContext.broadcast((mean, np.hstack([iterative_quantisation(x - mean if s < ROTATIONS else x[:0], seed=s) for s in range(rotations)])))
+    bits = rotations * d
     chunk = min(CHUNK, bits)
     tables = max(1, bits // chunk)
     words = -(-bits // 63)
