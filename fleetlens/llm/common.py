@@ -50,12 +50,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` made and that nothing reads any more."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables, or unions of such, that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 _held: dict[str, Callable[[], None]] = {}

@@ -24,7 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         ends = edges.select(F.col("u").alias("id"), F.col("v").alias("near")).unionByName(edges.select(F.col("v").alias("id"), F.col("u").alias("near")))
         parent = written(ends.groupBy("id").agg(F.min("near").alias("near")).select("id", F.least("id", "near").alias("p")), "parent")
         up = parent.select(F.col("id").alias("p"), F.col("p").alias("pp"))
-        parent = written(parent.join(up, "p").select("id", F.col("pp").alias("p")), "parent2")
+        parent, once = written(parent.join(up, "p").select("id", F.col("pp").alias("p")), "parent2"), parent
+        dropped(once)
         old = label
         label = parent.select("id", F.col("p").alias("component")) if label is None else label.join(parent.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("p", "component").alias("component"))
         label = written(label, "label")
@@ -34,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
             .where("pu <> pv").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct()
         )
         rest = written(rest, "links")
-        dropped(edges)
+        dropped(edges, parent)
         if old is not None:
             dropped(old)
         edges = rest

@@ -10,13 +10,15 @@ frequent token is its hash modulo a number that follows the size class of the se
 many as prefix tokens. Which token is frequent is read off a filter of a fixed size; whatever it says, the order is
 the same for all sets, so no link depends on it, only the lengths of the index lists do.
 
-Equal sets are one class, represented by the smallest id. Index lists are never expanded into all pairs: each member is
-verified against the smallest of the list; components are built; and only members whose components still differ are
-verified against each other. Pairs within a component need no check, as the result is components.
+Equal sets are one class with a number of its own. Lists with the same members are one list. For components, lists are
+never expanded into all pairs: each member is verified against hubs of its lists (members that share the most of their
+tokens); components are built; and only members whose components still differ meet the others of their lists, a pair in
+the first of the lists that both name, and only pairs that sketches and parities of the sets can't rule out are
+verified. Pairs within a component need no check then; ``jaccard_pairs`` verifies and returns all pairs instead.
 
 Nulls and edges: a null or empty text, or one without words, has size 0 and its own id as component. A null id gives a
-row with a null component and links with nothing. Rows that share an id count as one node; repeated rows give a row
-each. An empty table gives no rows. Columns other than the two named are never read.
+row with a null component and links with nothing. Rows that share an id count as one node with the links of all their
+texts; repeated rows give a row each. An empty table gives no rows. Columns other than the two named are never read.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import chain, combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +37,12 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import FILTER_BITS, as_bytes, as_long, claim, dropped, filter_bits, mix64, with_text, written
 from fleetlens.llm.graph import components
 
-#: Lists of a token longer than this make it frequent; longer than the second, very frequent.
-FREQUENT, VERY_FREQUENT = 16, 256
-#: So many of the most frequent tokens are told to the workers at most; the rest count as rare, which costs time only.
-MOST_FREQUENT = 400_000
+#: Lists of a token as long as this make it frequent, as the second, very frequent.
+FREQUENT, VERY_FREQUENT = 6, 64
+#: With more frequent tokens than this a filter would say so of most; then the bounds are raised. That costs time only.
+MOST_FREQUENT = FILTER_BITS // 8
+#: So many lists of a member tell in which list a pair meets.
+FIRST_LISTS = 8
 #: Words of which a worker keeps the hash.
 KEPT = 200_000
 #: Bits of the parity of a set, by which most pairs are ruled out without their tokens.
@@ -112,21 +117,23 @@ class Scheme:
         return int(np.searchsorted(self.bounds, n, "right")) - 1
 
     def groups(self, b: int) -> int:
-        """Groups of each frequent class for sets of size classes b - 1 and b; so few that every set can be covered."""
+        """Groups of each frequent class for sets of size classes b - 1 and b; so few that every set can be covered, or 0."""
         n = max(int(self.bounds[max(b - 1, 0)]), 1)
-        return max(1, min(self.needed(n) // 2, (n - self.needed(n)) // 3))
+        return min(max(1, self.needed(n) // 2), (n - self.needed(n)) // 3)
 
     def signatures(self, n: int, tokens: np.ndarray, kinds: np.ndarray | None) -> np.ndarray:
-        """Of a set of size ``n`` by its first tokens (sorted, unsigned) or all. kinds: 1, 2 or 3 for each; None: all 1."""
+        """Of a set of size ``n`` by its first tokens (sorted, unsigned) or all. kinds: 1, 2 or 3 for each; None: all 1.
+
+        The few tokens of the smallest sets go one by one, whatever their kind, in the prefix by hash alone.
+        """
         need = self.needed(n)
         if kinds is None:
             return tokens[:need]
         rare = tokens[kinds == 1]
-        if len(rare) >= need:
-            return rare[:need]
-        out = [rare]
         b0 = self.size_class(n)
-        for b in (b0, b0 + 1):
+        sizes = [b for b in (b0, b0 + 1) if self.groups(b)]
+        out = [rare[:need]] + [tokens[:need]] * (len(sizes) < 2)
+        for b in sizes if len(rare) < need else ():
             g, left = self.groups(b), need - len(rare)
             members: dict[tuple[int, int], list[int]] = {}
             for k in (2, 3):
@@ -147,7 +154,7 @@ class Scheme:
                     for j in range(1, k + 1):
                         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + a[:, j])
                     out.append(h)
-        return np.concatenate(out)
+        return np.unique(np.concatenate(out))
 
 
 def _kinds(tokens: np.ndarray, filters: list[np.ndarray]) -> np.ndarray | None:
@@ -160,13 +167,6 @@ def _kinds(tokens: np.ndarray, filters: list[np.ndarray]) -> np.ndarray | None:
     return kinds if (kinds > 1).any() else None
 
 
-def _token_filter(tokens: np.ndarray) -> np.ndarray:
-    at = (tokens.view(np.uint64) >> np.uint64(7)) % np.uint64(FILTER_BITS)
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.int64(1) << (at & np.uint64(63)).astype(np.int64))
-    return out
-
-
 def _over(rows: DataFrame, width: int, emit: Callable[[list, list[np.ndarray]], Iterator[list]], schema: pa.Schema, ddl: str) -> DataFrame:
     """Each batch's ids and sets through ``emit``; at most some MB of text at a time."""
 
@@ -193,17 +193,29 @@ def _keys(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     return [sign(x & (1 << 64) - 1) for x in d], [sign(x >> 64) for x in d]
 
 
-def frequent(entries: DataFrame, known: np.ndarray) -> np.ndarray:
-    """Tokens (sig) of several classes (c) with their counts; at most MOST_FREQUENT come to the driver."""
+def frequent(entries: DataFrame) -> DataFrame:
+    """Tokens (sig) of several classes (c) with their counts, as a written table."""
     part = F.col("c").bitwiseAND(0x7FFFFFFF).cast("int")  # enough to tell whether there are several, and short
-    counts = entries.groupBy("sig").agg(F.count("*").alias("count"), F.min(part).alias("lo"), F.max(part).alias("hi"))
-    top = counts.where((F.col("count") >= FREQUENT) & (F.col("lo") != F.col("hi"))).orderBy(F.desc("count"), "sig").limit(MOST_FREQUENT).toArrow()
-    return np.concatenate([known, np.stack([top["sig"].to_numpy(), top["count"].to_numpy()], 1)]) if top.num_rows else known
-
-
-def filters(tokens: np.ndarray) -> list[np.ndarray]:
-    """Of the frequent and the very frequent ones, 4 MB each."""
-    return [_token_filter(np.unique(tokens[:, 0])), _token_filter(np.unique(tokens[tokens[:, 1] >= VERY_FREQUENT, 0]))] if len(tokens) else []
+    counts = entries.select("sig", part.alias("c")).groupBy("sig").agg(F.count("*").alias("count"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    return written(counts.where((F.col("count") >= FREQUENT) & (F.col("lo") != F.col("hi"))).select("sig", "count"), "frequent")
+
+
+def filters(tokens: DataFrame) -> list[np.ndarray]:
+    """Of the frequent and the very frequent ones, 4 MB each, made by the executors and merged word by word."""
+    sizes = {r["b"]: r["n"] for r in tokens.groupBy(F.floor(F.log2("count")).alias("b")).agg(F.count("*").alias("n")).collect()}  # 64 rows at most
+    if not sizes:
+        return []
+    least = FREQUENT
+    while sum(n for b, n in sizes.items() if 2 ** (b + 1) > least) > MOST_FREQUENT:
+        least *= 2
+    at = F.shiftrightunsigned("sig", 7) % FILTER_BITS
+    bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
+    words = tokens.where(F.col("count") >= least).withColumn("at", at).groupBy(F.expr("cast(at div 64 as int)").alias("w"))
+    words = words.agg(F.bit_or(bit).alias("some"), F.bit_or(F.when(F.col("count") >= VERY_FREQUENT * least // FREQUENT, bit).otherwise(0)).alias("very")).toArrow()
+    out = [np.zeros(FILTER_BITS // 64, np.int64) for _ in range(2)]
+    for bits, col in zip(out, ("some", "very"), strict=True):
+        bits[words["w"].to_numpy()] = words[col].to_numpy()
+    return out
 
 
 def _needed_sql(num: int, den: int) -> str:
@@ -300,10 +312,10 @@ def _flagged(heads: DataFrame, scheme: Scheme, filters: list[np.ndarray]) -> Dat
 
 
 def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``id, c, n, tokens`` of the rows with these ids: workers make the sets of those in a filter of the ids, a join does the rest."""
+    """``id, c, c2, n, tokens`` of the rows with these ids: workers make the sets of those in a filter of the ids, a join does the rest."""
     spark = rows.sparkSession
     wanted = spark.sparkContext.broadcast(filter_bits(ids, "id"))
-    schema = pa.schema([("id", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("c", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("ngramjoin", _words.clear)
@@ -314,16 +326,25 @@ def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             for k in range(0, len(keep), 256):
                 some = batch.take(pa.array(keep[k : k + 256]))
                 sets = shingle_sets(as_bytes(some["text"]), width)
-                yield _as_batch([some["id"], _keys(sets)[0], [len(s) for s in sets], [as_long(s) for s in sets]], schema)
+                yield _as_batch([some["id"], *_keys(sets), [len(s) for s in sets], [as_long(s) for s in sets]], schema)
 
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    made = rows.where("id is not null").withColumn("bit", bit).mapInArrow(run, "id long, c long, n long, tokens array<long>").where("n > 0")
+    made = rows.where("id is not null").withColumn("bit", bit).mapInArrow(run, "id long, c long, c2 long, n long, tokens array<long>").where("n > 0")
     return made.join(ids, "id", "left_semi")
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id``; two documents link when den * intersection >= num * union."""
-    scheme = Scheme(num, den)
+class _Found(NamedTuple):
+    """sized: a row for each document; classes: of equal sets, numbered ``k``; entries: members ``k`` of lists ``sig``."""
+
+    rows: DataFrame
+    sized: DataFrame
+    classes: DataFrame
+    entries: DataFrame
+
+
+def _found(docs: DataFrame, scheme: Scheme, width: int, id_col: str, text_col: str) -> _Found:
+    """The classes of equal sets, and the lists in which all pairs of classes over the threshold meet."""
+    num, den = scheme.num, scheme.den
     rows = with_text(docs, id_col, text_col)
 
     def sizes(ids: list, sets: list[np.ndarray]) -> list:
@@ -334,58 +355,124 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("c2", pa.int64()), ("parity", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("head", pa.list_(pa.int64()))])
     sized = written(_over(rows, width, sizes, schema, "id long, n long, c long, c2 long, parity array<long>, sketch array<long>, head array<long>"), "sized")
     classes = sized.where("n > 0 and id is not null").groupBy("n", "c", "c2").agg(F.min("id").alias("rep"), F.any_value("parity").alias("parity"), F.any_value("sketch").alias("sketch"))
-    classes = written(classes, "classes")
+    classes = written(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
     heads = sized.where("size(head) > 0 and id is not null").select("id", "n", "c", "head")
 
     # Which tokens are frequent is counted over the first tokens by hash of all sets, half as many again as a prefix of rare ones. Sets of
     # which so many are frequent that the prefix goes beyond these are taken whole, and their other tokens are counted too.
-    tokens = frequent(_unlike(heads), np.zeros((0, 2), np.int64))
+    tokens = counted = frequent(_unlike(heads))
+    kinds = filters(tokens)
     whole: DataFrame | None = None
     for again in (False, True):
-        if not len(tokens):
+        if not kinds:
             break
-        beyond = _flagged(heads, scheme, filters(tokens))
+        beyond = _flagged(heads, scheme, kinds)
         beyond = written(beyond if whole is None else beyond.join(whole.select("id"), "id", "left_anti"), "beyond")
         if beyond.isEmpty():
             break
         more = written(_sets(rows, beyond, width), "whole")
         if not again:
             other = more.select("c", F.explode(F.expr(f"slice(tokens, 1 + cast({_needed_sql(num, den)} + {_needed_sql(num, den)} div 2 as int), 2147483647)")).alias("sig"))
-            tokens = frequent(other, tokens)
+            counted = frequent(other)
+            tokens = tokens.unionByName(counted)
+            kinds = filters(tokens)
         whole = more if whole is None else whole.unionByName(more)
-    index = written(_index(heads, whole, scheme, filters(tokens)), "index")
+        dropped(beyond)
+    dropped(tokens)
+    index = written(_index(heads, whole, scheme, kinds), "index")
+    if whole is not None:
+        dropped(whole)
     lists = written(index.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig"), "lists")
-    # entries of lists with two classes or more, by representative
-    entries = _maybe(index, lists).join(lists, "sig").join(classes.select("c", "n", "rep"), ["c", "n"]).select("sig", "rep", "n").distinct()
-    entries = written(entries, "entries")
-    dropped(index)
-    head = entries.groupBy("sig").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("members")).where("members > 1")
-    head = written(head.select("sig", "members", F.col("head.rep").alias("a"), F.col("head.n").alias("an")), "heads")
-    fits = lambda m, n: (F.lit(den) * F.least(m, n) >= F.lit(num) * F.greatest(m, n))
-    # each member is verified against two heads of its lists: the one it shares most lists with, and the smallest
-    shared = entries.join(head, "sig").where((F.col("rep") != F.col("a")) & fits(F.col("an"), F.col("n"))).groupBy("rep", "a").agg(F.count("*").alias("lists"))
-    heads_of = shared.groupBy("rep").agg(F.max_by("a", F.struct("lists", -F.col("a"))).alias("most"), F.min("a").alias("least"))
-    pairs = heads_of.select(F.explode(F.array_distinct(F.array("most", "least"))).alias("a"), F.col("rep").alias("b"))
-    links = verified(rows, written(near(pairs, classes, num, den), "pairs"), width, num, den)
-    part = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "part")
-    # members of a list whose components differ from that of its head: against all others of the list
-    far = entries.join(head, "sig").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    far = far.join(part.select(F.col("id").alias("a"), F.col("component").alias("of_head")), "a", "left").withColumn("of_head", F.coalesce("of_head", "a")).select("sig", "rep", "n", "component", "a", "of_head")
-    mixed = far.groupBy("sig").agg(F.max(F.col("component") != F.col("of_head")).alias("mixed")).where("mixed").select("sig")
-    far = far.join(mixed, "sig").join(classes.select("rep", "sketch").dropDuplicates(["rep"]), "rep")
-    far = written(far, "far")
-    stray = far.where("component <> of_head")
-    other = far.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("sketch").alias("sketch2"))
-    alike = apart("sketch", "sketch2") * (den + num) <= F.lit(den - num) * (F.col("n") + F.col("n2"))
-    rest = stray.select("sig", "rep", "n", "component", "sketch").join(other, "sig").where((F.col("component") != F.col("component2")) & fits(F.col("n"), F.col("n2")) & alike)
-    rest = rest.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    rest = written(near(rest, classes, num, den), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rows, rest, width, num, den))
-        part = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    reps = classes.join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "c", "c2", F.coalesce("component", "rep").alias("component_id"))
-    out = sized.join(reps, ["n", "c", "c2"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    # entries of lists with two classes or more
+    entries = written(_maybe(index, lists).join(lists, "sig").join(classes.select("c", "n", "k"), ["c", "n"]).select("sig", "k", "n").distinct(), "members")
+    dropped(index, lists)
+    # lists with the same members, by two hashes over them, are one
+    lists = entries.groupBy("sig").agg(F.bit_xor(F.xxhash64("k")).alias("x"), F.sum(F.xxhash64("k", F.lit(5)).bitwiseAND((1 << 40) - 1)).alias("y"), F.count("*").alias("members"))
+    lists = written(lists.where("members > 1").groupBy("x", "y", "members").agg(F.min("sig").alias("sig"), F.count("*").alias("times")).select("sig", "times"), "lists")
+    few = written(entries.join(lists, "sig"), "few")
+    dropped(entries, lists)
+    # a list's hub has the largest share of its tokens in lists: a text that others were made of rather than one of those
+    shares = few.groupBy("k").agg((F.sum("times") / F.first("n")).alias("share"))
+    hubs = few.join(shares, "k").groupBy("sig").agg(F.max(F.struct("share", (-F.col("k")).alias("a"), "n")).alias("hub"))
+    out = written(few.join(hubs.select("sig", (-F.col("hub.a")).alias("a"), F.col("hub.n").alias("an")), "sig"), "entries")
+    dropped(few)
+    return _Found(rows, sized, classes, out)
+
+
+def _fits(m: str, n: str, scheme: Scheme) -> Column:
+    """Sets of these sizes can be over the threshold."""
+    return F.lit(scheme.den) * F.least(m, n) >= F.lit(scheme.num) * F.greatest(m, n)
+
+
+def jaccard_pairs(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All pairs of unlike sets that link, and who is in them: ``a, b`` (numbers of classes) and ``doc_id, n_shingles, class_id``.
+
+    Documents of one class link with each other and with all documents of the classes that theirs links with; so no link is
+    left out, and copies are not expanded into pairs. Documents without words have no class.
+    """
+    scheme = Scheme(num, den)
+    found = _found(docs, scheme, width, id_col, text_col)
+    one, other = found.entries.select("sig", F.col("k").alias("a"), "n"), found.entries.select("sig", F.col("k").alias("b"), F.col("n").alias("m"))
+    pairs = one.join(other, "sig").where((F.col("a") < F.col("b")) & _fits("n", "m", scheme)).select("a", "b").distinct()
+    links = verified(found, written(near(pairs, found.classes, num, den), "pairs"), width, num, den)
+    who = found.sized.where("id is not null").join(found.classes.select("n", "c", "c2", "k"), ["n", "c", "c2"], "left")
+    return links, who.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("k").alias("class_id"))
+
+
+def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id``; two documents link when den * intersection >= num * union."""
+    scheme = Scheme(num, den)
+    found = _found(docs, scheme, width, id_col, text_col)
+    classes, entries = found.classes, found.entries
+    # each member is verified against two hubs of its lists: the one it shares most lists with, and the smallest
+    shared = entries.where((F.col("k") != F.col("a")) & _fits("an", "n", scheme)).groupBy("k", "a").agg(F.sum("times").alias("lists"))
+    hubs = shared.groupBy("k").agg(F.max_by("a", F.struct("lists", -F.col("a"))).alias("most"), F.min("a").alias("least"))
+    pairs = written(near(hubs.select(F.explode(F.array_distinct(F.array("most", "least"))).alias("a"), F.col("k").alias("b")), classes, num, den), "pairs")
+    links = verified(found, pairs, width, num, den)
+    ends = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    part = components(ends)
+    rest = written(near(_strays(found, part, scheme), classes, num, den), "rest")
+    dropped(pairs, entries)
+    # texts that share an id are one node; of such ids there are none as a rule
+    known = found.sized.where("id is not null").select("id", "n", "c", "c2")
+    unlike = known.groupBy("id").agg(F.min(F.struct("n", "c", "c2")).alias("lo"), F.max(F.struct("n", "c", "c2")).alias("hi")).where("lo <> hi").select("id")
+    unlike = written(known.join(unlike, "id", "left_semi").join(classes.select("n", "c", "c2", "k"), ["n", "c", "c2"]).select("id", "k").distinct(), "unlike")
+    several = not unlike.isEmpty()
+    if several or not rest.isEmpty():
+        dropped(part)
+        one = unlike.groupBy("id").agg(F.min("k").alias("u"))
+        part = components(ends.unionByName(verified(found, rest, width, num, den).toDF("u", "v")).unionByName(unlike.join(one, "id").where("k <> u").select("u", F.col("k").alias("v"))))
+    dropped(rest)
+    of = classes.select("n", "c", "c2", "rep", "k").join(part.withColumnRenamed("id", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+    least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
+    out = found.sized.select("id", "n", "c", "c2").join(of.join(least, "component").select("n", "c", "c2", "component_id"), ["n", "c", "c2"], "left")
+    component = F.coalesce("component_id", "id")
+    if several:  # a row without words has the component of those with words that share its id
+        node = out.where("n > 0 and id is not null").groupBy("id").agg(F.min("component_id").alias("of_id"))
+        out, component = out.join(node, "id", "left"), F.coalesce("of_id", "id")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
+
+
+def _strays(found: _Found, part: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs ``a, b`` of members of a list whose components differ, but for those that sketches rule out.
+
+    Only members whose component isn't that of the list's hub look for partners. A pair meets in the first of the lists
+    that both members name (each names its first few), or in all that it shares where they name none together.
+    """
+    of = part.withColumnRenamed("id", "k")
+    far = found.entries.join(of, "k", "left").withColumn("component", F.coalesce("component", "k"))
+    far = far.join(of.toDF("a", "of_hub"), "a", "left").withColumn("stray", F.col("component") != F.coalesce("of_hub", "a")).select("sig", "k", "n", "component", "stray")
+    mixed = far.groupBy("sig").agg(F.max("stray").alias("mixed")).where("mixed").select("sig")
+    far = written(far.join(mixed, "sig"), "far")
+    first = far.groupBy("k").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, FIRST_LISTS).alias("first"))
+    far = written(far.join(first, "k").join(found.classes.select("k", "sketch"), "k"), "far")
+    one = far.where("stray").drop("stray")
+    other = far.toDF(*(f"{c}2" if c != "sig" else c for c in far.columns))
+    alike = apart("sketch", "sketch2") * (scheme.den + scheme.num) <= F.lit(scheme.den - scheme.num) * (F.col("n") + F.col("n2"))
+    here = F.coalesce(F.array_min(F.array_intersect("first", "first2")), F.col("sig")) >= F.col("sig")
+    apart_ = (F.col("component") != F.col("component2")) & (~F.col("stray2") | (F.col("k") < F.col("k2")))
+    met = one.join(other, "sig").where(apart_ & _fits("n", "n2", scheme) & here & alike)
+    return met.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
 
 
 def apart(a: str, b: str) -> Column:
@@ -394,8 +481,8 @@ def apart(a: str, b: str) -> Column:
 
 
 def near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs without those whose parities differ in more bits than similar sets can differ in tokens."""
-    own = classes.select("rep", "n", "parity").dropDuplicates(["rep"])
+    """The pairs of classes without those whose parities differ in more bits than similar sets can differ in tokens."""
+    own = classes.select("k", "n", "parity")
     both = pairs.join(own.toDF("a", "m", "x"), "a").join(own.toDF("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,17 +509,19 @@ def _maybe(index: DataFrame, lists: DataFrame) -> DataFrame:
     return index.withColumn("bit", F.pmod(F.xxhash64("sig"), F.lit(FILTER_BITS))).mapInArrow(run, "sig long, c long, n long")
 
 
-def verified(rows: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs of ids ``a``, ``b`` whose sets are similar enough; the sets of the ends are made again from their texts."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(_sets(rows, ends, width).dropDuplicates(["id"]), "sets")
+def verified(found: _Found, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs of classes ``a``, ``b`` whose sets are similar enough; the sets of the ends are made again from a text of each."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    ends = written(found.classes.join(ends, "k", "left_semi").select("k", "rep", "n", "c", "c2"), "ends")
+    made = _sets(found.rows, ends.select(F.col("rep").alias("id")).distinct(), width)
+    sets = written(made.join(ends.select("k", "n", "c", "c2"), ["n", "c", "c2"]).dropDuplicates(["k"]).select("k", "tokens"), "sets")
     both = F.size(F.array_intersect("x", "y"))
     out = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+        pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         .where(_similar(both, F.size("x"), F.size("y"), num, den)).select("a", "b")
     )
     out = written(out, "links")
-    dropped(sets)
+    dropped(sets, ends)
     return out
 
 

@@ -99,8 +99,8 @@ SQL = {
         ),
         n as (select id, cast(len(sh) as bigint) as n from s),
         x as (select id, unnest(sh) as t from s),
-        pairs as (select p.id as a, q.id as b, count(*) as both from x p join x q on p.t = q.t and p.id < q.id group by all),
-        links as (select a, b from pairs join n m on m.id = a join n o on o.id = b where 100 * both >= 90 * (m.n + o.n - both)),
+        pairs as (select p.id as a, q.id as b, count(*) as n_both from x p join x q on p.t = q.t and p.id < q.id group by all),
+        links as (select a, b from pairs join n m on m.id = a join n o on o.id = b where 100 * n_both >= 90 * (m.n + o.n - n_both)),
         nodes as (select id from n), {_REACH}
         select n.id as doc_id, n.n as n_shingles, min(other) as component_id from n join reach on reach.id = n.id group by all
     """,
