@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import written
 from fleetlens.llm.kmeans import kmeans
-from fleetlens.llm.neardup import dot, over_lengths, usable
+from fleetlens.llm.neardup import dot, over_lengths, usable, vector
 
 SAMPLE, MOST_LISTS, PROBE, RERANK = 20_000, 1024, 0.75, 120
 #: Vectors in a shard and queries in a block.
@@ -37,7 +37,7 @@ SHARD, BLOCK = 32_768, 1_024
 def search(vectors: DataFrame, is_query: Column, *, k: int = 20, probe: float = PROBE, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest of each row for which ``is_query`` (over ``id``) holds."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector(vectors, vector_col).alias("v"))
     rows = rows.where(F.col("id").isNotNull() & usable("v")).distinct()
     # of equal vectors, the k + 1 smallest ids can be among some query's k nearest other rows
     least = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)

@@ -2,8 +2,8 @@
 
 A BPE never merges over the borders that its pre-tokenizer draws, so the ids of a text are those of its pre-tokens, and
 these recur: each worker keeps the ids of the words it has met lately (at most two generations of ``KEPT``).
-Texts of plain ASCII and Latin-1 letters are split by ``re``; any other text, or one with the string of a special
-token, goes through the tokenizers library as a whole. Strings of special tokens are ordinary text.
+Texts of plain ASCII and Latin-1 letters are split by ``re``; any other text, or one with ``<|``, with which strings of
+special tokens begin, goes through the tokenizers library as a whole. There such a string becomes the special token's id.
 """
 
 from __future__ import annotations
@@ -66,7 +66,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.lower, self.split = _SPLITS.get(os.path.basename(path), (False, None))
         self.chars = dict(enumerate(_byte_chars()))

@@ -1,7 +1,7 @@
 """What the operators share: tables, written intermediate results, byte views of text, bit filters of a fixed size.
 
 Intermediate results are Parquet tables in the folder of ``spark.checkpoint.dir``; so a lost executor costs a
-reread, never a rerun of the whole lineage. Only where that setting is missing, as in tests, a local folder is used.
+reread, never a rerun of the whole lineage. Only a local session may do without that setting; it uses a local folder.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     elif "://" not in base and base.startswith("/"):
         base = "file://" + base
@@ -87,12 +89,13 @@ def with_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFram
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
-def rows_kept(df: DataFrame, text_col: str, keep: Callable[[list[bytes | None]], np.ndarray]) -> DataFrame:
-    """The rows, with all their columns, whose text ``keep`` wants; nothing is shuffled."""
+def rows_kept(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[bytes | None]], np.ndarray]]) -> DataFrame:
+    """The rows, with all their columns, whose text the test wants that ``make`` makes for a task; nothing is shuffled."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("rows_kept")
+        keep = make()
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)

@@ -1,12 +1,14 @@
 """Operator 5, embedding near-dedup: iterative quantisation and multi-index Hamming tables, reranked exactly.
 
 On a bounded sample of unit vectors (``SAMPLE`` rows, chosen by hash) rotations are learned that balance binary codes:
-the sign of each rotated, centred coordinate is a bit. Two rotations from different starts give 2 x d bits; for short
-vectors random rotations are added until there are ``TABLES`` chunks. The bits are cut into chunks of ``CHUNK`` bits. Each chunk is a table: a vector is stored under its chunk, and looked up under its chunk and
-all chunks that differ in one bit, within its label. A pair found in several tables is kept in the first only, which its
-codes tell without a shuffle; pairs whose codes differ in more than ``FAR`` of their bits go; all others are
-verified on the original vectors in double precision. At a cosine of 0.93 a bit differs with probability 0.12, and a pair
-is missed with probability 0.0002; at 0.97, 0.0000001. Found links are exact.
+the sign of each rotated, centred coordinate is a bit. Two rotations from different starts give 2 x d bits; random
+rotations are added until there are bits for all tables. The bits are cut into chunks, as wide as the largest label's
+number of vectors in binary (``WIDTHS``), so that a bucket holds a few vectors however many there are. Each chunk is a
+table: a vector is stored under its chunk, and looked up under its chunk and all chunks that differ in one bit, within its
+label. A pair found in several tables is kept in the first only, which its codes tell without a shuffle; pairs whose codes
+differ in more than ``FAR`` of their bits go; all others are verified on the original vectors in double precision. At a
+cosine of 0.93 a bit differs with probability 0.12; there are so many tables that a pair at the threshold is missed with a
+probability of ``MISS`` at most by the arithmetic of independent bits. Found links are exact.
 
 Equal vectors of one label are one class with a count, so a vector that is repeated ever so often costs one entry.
 
@@ -30,9 +32,11 @@ from fleetlens.llm.common import written
 from fleetlens.llm.graph import components
 from fleetlens.llm.kmeans import iterative_quantisation
 
-SAMPLE, CHUNK, ROTATIONS, FAR = 20_000, 12, 2, 0.36
-#: Tables at least, whatever the vectors' length; lengths whose results are gathered in one plan.
-TABLES, TOGETHER = 10, 50
+SAMPLE, ROTATIONS, FAR, MISS = 20_000, 2, 0.36, 2e-4
+#: Least and largest width of a chunk in bits.
+WIDTHS = (8, 24)
+#: Lengths whose results are gathered in one plan.
+TOGETHER = 50
 
 
 def usable(vector: str) -> Column:
@@ -45,6 +49,19 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def vector(df: DataFrame, col: str) -> Column:
+    """The column as it is if of floats, else in doubles, so that nothing is rounded."""
+    kind = df.schema[col].dataType.simpleString()
+    return F.col(col) if kind == "array<float>" else F.col(col).cast("array<double>")
+
+
+def tables_for(threshold: float, chunk: int, miss: float = MISS) -> int:
+    """So many chunks that two vectors at the threshold are within one bit in none of them with probability ``miss`` at most."""
+    p = np.arccos(min(max(threshold, -1.0), 1.0)) / np.pi
+    found = (1 - p) ** chunk + chunk * p * (1 - p) ** (chunk - 1)
+    return 1 if found >= 1 else max(1, int(np.ceil(np.log(miss) / np.log(1 - found))))
+
+
 def over_lengths(classes: DataFrame, empty: DataFrame, find: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """The union of ``find(classes of length d, d)`` over all lengths ``d``; of many lengths parts are written, so plans stay small."""
     lengths = sorted(r["d"] for r in classes.select("d").distinct().collect())
@@ -58,7 +75,7 @@ def over_lengths(classes: DataFrame, empty: DataFrame, find: Callable[[DataFrame
 def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept``; links join vectors of equal labels with a cosine of ``threshold`` or more."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), F.col(label_col).cast("string").alias("label"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector(vectors, vector_col).alias("v"), F.col(label_col).cast("string").alias("label"))
     fit = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable("v"))
     classes = written(fit.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("d", F.size("v")), "vectors")
     links = over_lengths(classes, spark.createDataFrame([], "a long, b long, na long, nb long"), lambda own, d: _links(own, d, threshold))
@@ -81,12 +98,13 @@ def _links(classes: DataFrame, d: int, threshold: float) -> DataFrame:
     x = np.array(sample["v"].to_pylist(), np.float64).reshape(-1, d)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     mean = x.mean(0) if len(x) else np.zeros(d)
-    rotations = max(ROTATIONS, -(-TABLES * CHUNK // d))
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    chunk = min(max(int(largest).bit_length(), WIDTHS[0]), WIDTHS[1])
+    tables = tables_for(threshold, chunk)
+    rotations = max(ROTATIONS, -(-tables * chunk // d))
     # learned ones may end alike where there are few dimensions; without rows they are random
     held = spark.sparkContext.broadcast((mean, np.hstack([iterative_quantisation(x - mean if s < ROTATIONS else x[:0], seed=s) for s in range(rotations)])))
     bits = rotations * d
-    chunk = min(CHUNK, bits)
-    tables = max(1, bits // chunk)
     words = -(-bits // 63)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

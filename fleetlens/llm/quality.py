@@ -2,8 +2,9 @@
 
 Each line is good or bad. Its features are shares and counts of its own (letters, marks, repeated words, repeated lines,
 ...), cut into ranges, and those of the line before and after it. The field is fitted by maximum likelihood, with a
-quadratic penalty, to the lines of a bounded sample of labelled documents (``SAMPLE``, chosen by a hash of the id); a
-line has its document's label. Forward-backward gives each line's marginal; the mean over a document's lines, each
+quadratic penalty, to the lines of a bounded sample of labelled documents (``SAMPLE`` of them, ``SAMPLE_LINES`` lines in
+all, chosen by a hash of the id; the documents beyond are left out of the fit, not of the scores); a line has its
+document's label. Forward-backward gives each line's marginal; the mean over a document's lines, each
 weighted by its length, is the document's quality, mapped to a probability of label 1 by a logistic curve that is
 fitted to the same sample. Documents of ``SAMPLE`` are collected as line features, never as texts.
 
@@ -20,13 +21,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import as_bytes, claim, rows_kept, with_text
+from fleetlens.llm.common import as_bytes, claim, dropped, rows_kept, with_text, written
 from fleetlens.llm.optimise import minimise, sigmoid
 
-SAMPLE = 6_000
+SAMPLE, SAMPLE_LINES = 6_000, 300_000
 #: Upper ends of the ranges that each measure of a line is cut into.
 RANGES: dict[str, list[float]] = {
     "upper": [0.0, 0.06, 0.2, 0.5],
@@ -228,8 +229,8 @@ def sampled_labels(labels: DataFrame, label_col: str, out: Column, most: int, id
     return rows.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, folds: int = 5, fold: int = 0, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    chosen = F.broadcast(sampled_labels(labels, "quality", held_out("id", folds, fold), sample, id_col))
+def train(docs: DataFrame, labels: DataFrame, *, folds: int = 5, fold: int = 0, sample: int = SAMPLE, lines: int = SAMPLE_LINES, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    chosen = written(sampled_labels(labels, "quality", held_out("id", folds, fold), sample, id_col), "labels")
     rows = with_text(docs, id_col, text_col).join(chosen, "id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,9 +238,14 @@ def train(docs: DataFrame, labels: DataFrame, *, folds: int = 5, fold: int = 0,
             features, sizes, counts = batch_features(as_bytes(batch["text"]))
             ends = np.cumsum(counts)
             data = [(features[e - c : e].astype(np.int16).tobytes(), sizes[e - c : e].astype(np.int32).tobytes()) for e, c in zip(ends, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array([a for a, _ in data], pa.binary()), pa.array([b for _, b in data], pa.binary())], names=["id", "label", "features", "sizes"])
-
-    got = rows.mapInArrow(measure, "id long, label int, features binary, sizes binary").toArrow().sort_by("id")
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array(counts), pa.array([a for a, _ in data], pa.binary()), pa.array([b for _, b in data], pa.binary())], names=["id", "label", "lines", "features", "sizes"])
+
+    measured = written(rows.mapInArrow(measure, "id long, label int, lines long, features binary, sizes binary"), "measured")
+    # of at most ``sample`` ids, as many by their hash as have no more than so many lines together
+    before = Window.orderBy(F.xxhash64("id"), "id")
+    fits = measured.groupBy("id").agg(F.sum("lines").alias("lines")).withColumn("lines", F.sum("lines").over(before)).where(F.col("lines") <= lines).select("id")
+    got = measured.join(fits, "id").select("id", "label", "features", "sizes").toArrow().sort_by("id")
+    dropped(measured, chosen)
     sizes = [np.frombuffer(x, np.int32) for x in got["sizes"].to_pylist()]
     features = np.frombuffer(b"".join(got["features"].to_pylist()), np.int16).reshape(-1, 3 * len(RANGES) + 3).astype(np.int64)
     return fit(features, np.concatenate([np.zeros(0), *sizes]), np.array([len(s) for s in sizes], np.int64), got["label"].to_numpy().astype(np.int64))
@@ -264,4 +270,4 @@ def scored(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, folds:
 def good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, text_col: str = "text", **options: object) -> DataFrame:
     """The documents, with all their columns, that are not predicted to be bad."""
     field = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text_col=text_col, **options))  # type: ignore[arg-type]
-    return rows_kept(docs, text_col, lambda texts: score_texts(field.value, texts) >= threshold)
+    return rows_kept(docs, text_col, lambda: lambda texts: score_texts(field.value, texts) >= threshold)

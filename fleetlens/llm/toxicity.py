@@ -1,16 +1,18 @@
 """Operator 4, toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
 Voters are lexicon words (a seed list, and words found in the labelled sample) and patterns (word beginnings found there,
-several hits, dense hits); one more votes clean where none of them fires. A word or beginning is a candidate if its
+several hits, dense hits); one more tells that none of them fires. A word or beginning is a candidate if its
 documents are toxic more often than chance allows among all the terms tried (likelihood ratio against the number of
 terms).
 
 The label model is generative: a document is toxic with probability ``p``, and voter ``j`` fires with one probability if
 it is and another if not. The off-diagonal covariances of the votes, counted over all documents, are then the product of
 two voters' strengths; these are fitted, pairs with a residue beyond ``CORRELATED`` are taken as correlated voters and
-left out of the next fit, and correlated voters that fire together share their weight. Known labels of the sample are
-one more voter. Its posteriors are the soft labels on which the linear classifier is fitted (logistic, quadratic penalty;
-features are counts of the terms and their density). Every document is then scored by the classifier alone.
+left out of the next fit, and correlated voters that fire together share their weight. From there expectation maximisation
+over the documents below fits both probabilities of every voter, the covariances' estimate counting as ``WORTH`` documents; a
+known label is the vote of one more voter, whose probabilities are fitted too. The model's posteriors are the soft labels on which the linear classifier is fitted (logistic, quadratic penalty; features are counts of the terms and their
+density): those of at most ``SAMPLE`` documents drawn from the training fold by a hash, labelled or not, and of at most
+``SAMPLE`` labelled ones. Every document is then scored by the classifier alone.
 
 Nulls and edges: a null or empty text has the score of a text without hits; very long texts are read whole; documents with a
 null id are scored and count as not held out; repeated rows give a row each; labels that are null, or of ids without a
@@ -21,7 +23,7 @@ never read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -29,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import as_bytes, claim, rows_kept, with_text
+from fleetlens.llm.common import as_bytes, claim, dropped, rows_kept, with_text, written
 from fleetlens.llm.optimise import minimise, sigmoid
 from fleetlens.llm.quality import held_out, sampled_labels
 
-SAMPLE, TERMS, VOTERS, CORRELATED = 20_000, 2_000, 60, 0.1
+SAMPLE, TERMS, VOTERS, CORRELATED, WORTH = 20_000, 2_000, 60, 0.1, 50
 #: Lengths of word beginnings, in characters.
 LENGTHS = range(3, 9)
 KEPT = 200_000
@@ -113,10 +115,9 @@ def mine(rows: DataFrame, most: int = TERMS) -> tuple[list[tuple[str, int, int]]
         yield flush()
 
     counts = rows.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    often = counts.where("toxic >= 3").cache()
+    often = written(counts.where("toxic >= 3"), "terms")
     size = often.where("term = ''").first()
     if size is None or not size["clean"]:
-        often.unpersist()
         return [], 0, 0
     n0, n1 = size["clean"], size["toxic"]
     p = n1 / (n0 + n1)
@@ -126,7 +127,7 @@ def mine(rows: DataFrame, most: int = TERMS) -> tuple[list[tuple[str, int, int]]
     tried = often.count() + 1000
     best = often.where((F.col("term") != "") & (rate > 2 * p) & (ratio > float(np.log(tried)) + 2)).orderBy(ratio.desc(), F.length("term"), "term").limit(most)
     out = [(r["term"], r["clean"], r["toxic"]) for r in best.collect()]
-    often.unpersist()
+    dropped(often)
     return out, n0, n1
 
 
@@ -148,13 +149,36 @@ class LabelModel(NamedTuple):
     if_clean: np.ndarray
     tied: np.ndarray  # positive residual correlations of voters
 
-    def posterior(self, votes: np.ndarray, label: int | None = None) -> float:
-        """votes: whether each voter fires; the last votes clean."""
-        share = votes / (1 + self.tied @ votes)
-        odds = np.log(self.prior / (1 - self.prior)) + share @ np.log(self.if_toxic / self.if_clean)
-        if label is not None:
-            odds += 3.5 if label else -3.5
-        return float(sigmoid(np.array(odds)))
+    label_if_toxic: float = 0.95  # how often a known label says toxic
+    label_if_clean: float = 0.05
+
+    def odds(self, votes: np.ndarray) -> np.ndarray:
+        """Log odds of toxic; votes: a row a document, whether each voter fires. That one keeps quiet counts too.
+
+        The last voter says only that all others keep quiet, so it adds nothing.
+        """
+        votes = votes * (np.arange(votes.shape[1]) < votes.shape[1] - 1)
+        quiet = (1 - votes) * (np.arange(votes.shape[1]) < votes.shape[1] - 1)
+        fired, quiet = votes / (1 + votes @ self.tied), quiet / (1 + quiet @ self.tied)
+        return np.log(self.prior / (1 - self.prior)) + fired @ np.log(self.if_toxic / self.if_clean) + quiet @ np.log((1 - self.if_toxic) / (1 - self.if_clean))
+
+    def posterior(self, votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """labels: 1, 0 or, where there is none, -1."""
+        says = np.log([(1 - self.label_if_toxic) / (1 - self.label_if_clean), self.label_if_toxic / self.label_if_clean, 1.0])
+        return sigmoid(self.odds(votes) + says[labels])
+
+    def calibrated(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 20) -> LabelModel:
+        """After rounds of expectation maximisation over these documents, which the labelled ones anchor."""
+        known = labels >= 0
+        out = self
+        share = lambda weight, fires, prior, worth: (worth * prior + weight @ fires) / (worth + weight.sum())
+        for _ in range(rounds if known.any() else 0):
+            p = out.posterior(votes, labels)
+            out = out._replace(
+                if_toxic=np.clip(share(p, votes, self.if_toxic, WORTH), 1e-3, 1 - 1e-3), if_clean=np.clip(share(1 - p, votes, self.if_clean, WORTH), 1e-4, 1 - 1e-3),
+                label_if_toxic=float(share(p[known], labels[known], 0.95, 10)), label_if_clean=float(share(1 - p[known], labels[known], 0.05, 10)),
+            )
+        return out
 
 
 def fit_label_model(means: np.ndarray, seconds: np.ndarray, prior: float) -> LabelModel:
@@ -189,48 +213,63 @@ def vote(count: Counter, n: int, total: int, voters: int) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    spark = docs.sparkSession
-    chosen = F.broadcast(sampled_labels(labels, "toxic", held_out("id", folds, fold), sample, id_col).cache())
-    rows = with_text(docs, id_col, text_col)
-    known = rows.join(chosen, "id")
-    found, n0, n1 = mine(known)
-    names = choose_voters(found)
-    voters = len(names)
-    terms = {t: k for k, t in enumerate(dict.fromkeys([*names, *(t for t, _, _ in found)]))}
-    held = spark.sparkContext.broadcast(terms)
+_MEASURED = "kind int, i int, j int, n long, id long, label int, drawn long, terms array<int>, counts array<int>, hits int, words long"
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _measured(rows: DataFrame, terms: dict[str, int], voters: int) -> DataFrame:
+    """In one pass, how often two voters fire in the same document (kind 0), and what is found in those drawn or labelled (1)."""
+    held = rows.sparkSession.sparkContext.broadcast(terms)
+    schema = pa.schema([("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64()), ("id", pa.int64()), ("label", pa.int32()), ("drawn", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("hits", pa.int32()), ("words", pa.int64())])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         find = _Hits(held.value)
         total = np.zeros((voters + 5, voters + 5), np.int64)
         for batch in batches:
-            for text in as_bytes(batch["text"]):
-                v = np.append(vote(*hits(words(text), find), voters), 1).astype(np.int64)
-                i = np.flatnonzero(v)
-                total[np.ix_(i, i)] += 1
+            out = []
+            for text, i, label, drawn, take in zip(as_bytes(batch["text"]), *(batch[c].to_pylist() for c in ("id", "label", "drawn", "take")), strict=True):
+                count, n, size = hits(words(text), find)
+                at = np.flatnonzero(np.append(vote(count, n, size, voters), 1))
+                total[np.ix_(at, at)] += 1
+                if take or label is not None:
+                    out.append({"kind": 1, "id": i, "label": label, "drawn": drawn if take else None, "terms": list(count), "counts": list(count.values()), "hits": n, "words": size})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
         i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "n"])
+        yield pa.RecordBatch.from_pylist([{"kind": 0, "i": a, "j": b, "n": n} for a, b, n in zip(i.tolist(), j.tolist(), total[i, j].tolist(), strict=True)], schema=schema)
+
+    return written(rows.select("id", "text", "label", "drawn", "take").mapInArrow(measure, _MEASURED), "measured")
+
 
+def train(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    out = held_out("id", folds, fold)
+    chosen = written(sampled_labels(labels, "toxic", out, sample, id_col), "labels")
+    rows = with_text(docs, id_col, text_col)
+    found, n0, n1 = mine(rows.join(chosen, "id"))
+    names = choose_voters(found)
+    voters = len(names)
+    terms = {t: k for k, t in enumerate(dict.fromkeys([*names, *(t for t, _, _ in found)]))}
+    # about a tenth more than wanted is drawn, and the first of them taken
+    share = min(1.0, (1.1 * sample + 100) / max(docs.count(), 1))
+    drawn = F.xxhash64("id", F.lit(3))
+    rows = rows.join(chosen, "id", "left").withColumns({"drawn": drawn, "take": ~out & (F.pmod(drawn, F.lit(1_000_000)) < int(share * 1_000_000) + 1)})
+    measured = _measured(rows, terms, voters)
     sums = np.zeros((voters + 5, voters + 5))
-    for r in rows.select("text").mapInArrow(moments, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+    for r in measured.where("kind = 0").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         sums[r["i"], r["j"]] = r["n"]
     everything = max(sums[-1, -1], 1)
     prior = min(max(n1 / max(n0 + n1, 1), 0.01), 0.5) if n0 + n1 else 0.05
     label_model = fit_label_model(sums[-1, :-1] / everything, sums[:-1, :-1] / everything, prior)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _Hits(held.value)
-        schema = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("hits", pa.int32()), ("words", pa.int64())])
-        for batch in batches:
-            got = [(i, x, *hits(words(t), find)) for i, t, x in zip(batch["id"].to_pylist(), as_bytes(batch["text"]), batch["label"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pylist([{"id": i, "label": x, "terms": list(c), "counts": list(c.values()), "hits": n, "words": m} for i, x, c, n, m in got], schema=schema)
-
-    docs_ = known.mapInArrow(measure, "id long, label int, terms array<int>, counts array<int>, hits int, words long").toArrow().sort_by("id").to_pylist()
-    soft = np.array([label_model.posterior(vote(Counter(dict(zip(d["terms"], d["counts"], strict=True))), d["hits"], d["words"], voters), d["label"]) for d in docs_])
+    some = measured.where("kind = 1")
+    some = some.where("label is not null").unionByName(some.where("label is null").orderBy("drawn", "id", "hits", "words").limit(sample))
+    docs_ = some.select("id", "label", "terms", "counts", "hits", "words").toArrow().sort_by([("id", "ascending"), ("words", "ascending")]).to_pylist()
+    dropped(measured, chosen)
     if not docs_ or not len(found):
         # nothing to learn from: the label model's own odds
         odds = np.log(label_model.if_toxic / label_model.if_clean)
         return Model(terms, np.concatenate([np.maximum(odds[:voters], 1.0) / np.log(2), np.zeros(BULK)]), float(np.log(prior / (1 - prior))))
+    votes = np.stack([vote(Counter(dict(zip(d["terms"], d["counts"], strict=True))), d["hits"], d["words"], voters) for d in docs_])
+    known = np.array([-1 if d["label"] is None else d["label"] for d in docs_])
+    soft = label_model.calibrated(votes, known).posterior(votes, known)
     row = np.repeat(np.arange(len(docs_)), [len(d["terms"]) for d in docs_])
     col = np.array([t for d in docs_ for t in d["terms"]], np.int64)
     val = np.log1p([c for d in docs_ for c in d["counts"]])
@@ -277,4 +316,9 @@ def scored(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, folds:
 def clean(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, text_col: str = "text", **options: object) -> DataFrame:
     """The documents, with all their columns, that are not predicted to be toxic."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text_col=text_col, **options))  # type: ignore[arg-type]
-    return rows_kept(docs, text_col, lambda texts: score_texts(model.value, texts, _Hits(model.value.terms)) < threshold)
+
+    def keep() -> Callable[[list[bytes | None]], np.ndarray]:
+        find = _Hits(model.value.terms)
+        return lambda texts: score_texts(model.value, texts, find) < threshold
+
+    return rows_kept(docs, text_col, keep)

@@ -7,7 +7,7 @@ own in the shared folder and hands on a line for each record: reversed-host key,
 Index, lower level: the lines of all records, sorted by reversed-host URL key and id over all tasks, in compressed blocks
 of ``BLOCK`` lines. Upper level: a sparse directory with the first key, file, offset and length of each block. A look-up
 is a binary search in the directory, the range read of one block, a binary search in the block, and the range read of
-the record. A sorted batch of look-ups visits each block once.
+the record (``look_up``). Reading all captures back walks the directory's blocks instead, each of them once.
 
 Files are written under names of their own and renamed when they are complete; only names in the written lists count,
 so a task that runs again after a loss leaves nothing behind that is read.
@@ -26,7 +26,6 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -91,7 +90,9 @@ def write(pages: DataFrame, folder: str, *, revisit_from: int = REVISIT_FROM, id
     large = rows.where(F.col("size") >= revisit_from).select("id", "digest")
     # ids alone are shuffled to find the smallest of each payload; those of which there is one need no more
     firsts = large.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
-    revisits = large.join(firsts, "digest").where("id <> refers_to").select(F.col("id").alias("id"), "digest", "refers_to").distinct()
+    revisits = large.join(firsts, "digest").where("id <> refers_to").select("id", "digest", "refers_to").distinct()
+    # as a table their size is known, so the payloads are shuffled only where the revisits are too many to be sent to all
+    revisits = written(revisits, "revisits")
     rows = rows.join(revisits, ["id", "digest"], "left").withColumn("key", url_key(F.col("url")))
     place = pafs.FileSystem.from_uri(folder)
     place[0].create_dir(place[1], recursive=True)
@@ -226,10 +227,6 @@ def look_up(folder: str, directory: DataFrame, url: str) -> list[tuple[dict[str,
     return [reader.record(x) for x in reader.captures(key)]
 
 
-def host_of(url: str) -> str:
-    return urlsplit(url).hostname or ""
-
-
 def archive(pages: DataFrame, **options: object) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` as read back from the archives."""
     folder = f"{shared_dir(pages.sparkSession)}/warc"

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from fleetlens.llm import ann, graph, licenses, neardup, ngramjoin, packing, quality, sentencepiece, tokens_out, toxicity, warc
@@ -15,7 +16,7 @@ from fleetlens.llm.bpe import Encoder, public_path
 from fleetlens.llm.common import shared_dir, table
 
 DATA = "/root/testdata/sf0.001"
-ODD = [(None, "no id at all here"), (900001, None), (900002, ""), (900003, "  \n\t "), (900004, "one"), (900005, "two words"), (900006, "a b c d " * 30_000), (900007, "MIT License and Apache License."), (900007, "MIT License and Apache License.")]
+ODD = [(None, "no id at all here"), (900001, None), (900002, ""), (900003, "  \n\t "), (900004, "one"), (900005, "two words"), (900006, "a b c d " * 30_000), (900008, "<|endoftext|> a <|startoftext|><|endoftext|>b <| c"), (900007, "MIT License and Apache License."), (900007, "MIT License and Apache License.")]
 
 
 @pytest.fixture(scope="module")
@@ -91,7 +92,7 @@ def test_components_of_a_path(spark):
 def test_packing(spark, docs):
     path = public_path("word_bpe_49k.json")
     got = packing.pack_documents(docs, path, group=60).collect()
-    encode = Encoder.at(path).tokenizer
+    encode = Tokenizer.from_file(path)
     want, total = [], 0
     for i, t in docs.select("doc_id", "text").collect():
         ids = [*encode.encode(t or "", add_special_tokens=False).ids, 0]
@@ -121,7 +122,7 @@ def test_bounds_never_exceed_what_is_packed():
 def test_token_files(spark, docs):
     path = public_path("byte_bpe_50k.json")
     got = tokens_out.token_table(docs, path).collect()
-    encode = Encoder.at(path).tokenizer
+    encode = Tokenizer.from_file(path)
     want = {(i, len(ids) + 1, zlib.crc32(array("I", [*ids, 2]).tobytes())) for i, t in docs.select("doc_id", "text").collect() for ids in [encode.encode(t or "", add_special_tokens=False).ids]}
     assert {(r.doc_id, r.n_tokens, r.ids_crc32) for r in got} == want and len(got) == docs.count()
     at = 0
@@ -138,9 +139,9 @@ def test_token_files(spark, docs):
 def test_encoders_equal_the_library():
     odd = ["a  b", "  x", "x ", "a \n b", "it's 's  't\t\t x", "foo\n bar\n\n baz", "a_b __ 12 3² ½", " ", "é è  ß", "<|endoftext|> a", "日本語 text", "A'S 'S o'RE", "é"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        e = Encoder.at(public_path(name))
+        e, own = Encoder.at(public_path(name)), Tokenizer.from_file(public_path(name))
         for t in odd:
-            assert list(array("I", e.ids(t))) == e.tokenizer.encode(t, add_special_tokens=False).ids
+            assert list(array("I", e.ids(t))) == own.encode(t, add_special_tokens=False).ids
 
 
 def test_sentencepiece_viterbi_and_round_trip(spark, docs):
@@ -249,6 +250,34 @@ def test_classifiers_on_held_out_labels(spark, module, label, folds, fold):
     assert right >= (0.99 if label == "quality" else 0.97)
 
 
+def test_label_model_on_drawn_votes():
+    """Voters drawn from known accuracies, two of them the same; labels are few and some wrong."""
+    rng = np.random.default_rng(8)
+    n, rate = 20_000, 0.2
+    toxic = rng.random(n) < rate
+    if_toxic, if_clean = rng.uniform(0.1, 0.4, 15), rng.uniform(0.001, 0.01, 15)
+    votes = (rng.random((n, 15)) < np.where(toxic[:, None], if_toxic, if_clean)).astype(float)
+    votes = np.hstack([votes, votes[:, :1], (votes.sum(1) == 0)[:, None]])
+    model = toxicity.fit_label_model(votes.mean(0), votes.T @ votes / n, rate)
+    assert model.tied[0, 15] == model.tied[:16, :16].max() > toxicity.CORRELATED
+    labels = np.full(n, -1)
+    labels[:2000] = toxic[:2000] ^ (rng.random(2000) < 0.03)
+    model = model.calibrated(votes, labels)
+    assert model.if_toxic[:15] == pytest.approx(if_toxic, abs=0.03) and model.if_clean[:15] == pytest.approx(if_clean, abs=0.005)
+    assert model.label_if_toxic == pytest.approx(0.97, abs=0.02) and model.label_if_clean == pytest.approx(0.03, abs=0.02)
+    exact = np.log(rate / (1 - rate)) + np.where(votes[:, :15] > 0, np.log(if_toxic / if_clean), np.log((1 - if_toxic) / (1 - if_clean))).sum(1)
+    assert np.mean((model.posterior(votes, np.full(n, -1)) > 0.5) == toxic) >= np.mean((exact > 0) == toxic) - 0.002
+
+
+def test_lines_of_the_sample_are_bounded(spark):
+    rows = [(i, "\n".join([f"Good line {i} of a text." if i % 2 else "### $$ |||"] * (200 if i == 3 else 4))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    field = quality.train(docs, labels, lines=60)
+    assert quality.score_texts(field, [b"Good line of a text.", b"### $$ |||"])[0] > quality.score_texts(field, [b"### $$ |||"])[0]
+    assert quality.train(docs, labels, lines=0).prior == 0.5
+
+
 def test_classifiers_take_odd_rows(spark, docs):
     labels = table(spark, DATA, "labels").unionByName(spark.createDataFrame([(None, 1, 1), (5, None, None), (900004, 1, 0)], "doc_id long, quality int, toxic int"))
     for module in (quality, toxicity):
