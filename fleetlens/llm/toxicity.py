@@ -9,7 +9,7 @@ The label model is generative: a document is toxic with probability ``p``, and v
 it is and another if not. The off-diagonal covariances of the votes, counted over all documents, are then the product of
 two voters' strengths; these are fitted, pairs with a residue beyond ``CORRELATED`` are taken as correlated voters and
 left out of the next fit, and correlated voters that fire together share their weight. From there expectation maximisation
-over the documents below fits both probabilities of every voter, the covariances' estimate counting as ``WORTH`` documents; a
+over labelled documents fits both probabilities of every voter, the covariances' estimate counting as ``WORTH`` documents; a
 known label is the vote of one more voter, whose probabilities are fitted too. The model's posteriors are the soft labels on which the linear classifier is fitted (logistic, quadratic penalty; features are counts of the terms and their
 density): those of at most ``SAMPLE`` documents drawn from the training fold by a hash, labelled or not, and of at most
 ``SAMPLE`` labelled ones. Every document is then scored by the classifier alone.
@@ -168,15 +168,18 @@ class LabelModel(NamedTuple):
         return sigmoid(self.odds(votes) + says[labels])
 
     def calibrated(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 20) -> LabelModel:
-        """After rounds of expectation maximisation over these documents, which the labelled ones anchor."""
+        """After rounds of expectation maximisation over the labelled ones of these documents.
+
+        Unlabelled ones would draw voters that seldom fire together, as those of two languages, into one class each.
+        """
         known = labels >= 0
-        out = self
+        votes, labels, out = votes[known], labels[known], self
         share = lambda weight, fires, prior, worth: (worth * prior + weight @ fires) / (worth + weight.sum())
         for _ in range(rounds if known.any() else 0):
             p = out.posterior(votes, labels)
             out = out._replace(
                 if_toxic=np.clip(share(p, votes, self.if_toxic, WORTH), 1e-3, 1 - 1e-3), if_clean=np.clip(share(1 - p, votes, self.if_clean, WORTH), 1e-4, 1 - 1e-3),
-                label_if_toxic=float(share(p[known], labels[known], 0.95, 10)), label_if_clean=float(share(1 - p[known], labels[known], 0.05, 10)),
+                label_if_toxic=float(share(p, labels, 0.95, 10)), label_if_clean=float(share(1 - p, labels, 0.05, 10)),
             )
         return out
 
