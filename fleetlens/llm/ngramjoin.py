@@ -544,7 +544,8 @@ def one_of_each(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 10
         if not unlike.isEmpty():
             return _one_of_each_text(docs, unlike, width, num, den, id_col, text_col)
     part = written(jaccard_components(docs, width=width, num=num, den=den, id_col=id_col, text_col=text_col).where("doc_id is not null"), "components")
-    gone = part.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    # a table of known size: the planner broadcasts it while it is small, and no text is shuffled
+    gone = written(part.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
     out = docs.join(gone, id_col, "left_anti")
     if not repeated:
         return out
