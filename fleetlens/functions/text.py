@@ -83,23 +83,21 @@ def safe_name(c: Column) -> Column:
     return F.regexp_replace(c, "[^a-zA-Z0-9_-]", "-")
 
 
-def newlines(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+MARK, OTHER_MARK = "\ue000", "\ue001"
 
 
 def match_lines(text: str, pattern: str) -> Column:
     """``array<struct<match, line>>`` of all matches of a Java pattern that matches no empty text, lines from 1.
 
-    The text is cut at the matches; a match's line is one more than the line ends of all that stands before it.
+    One mark goes before each match and the text is split into lines: a line's marks are its matches, so the work is linear
+    in text and matches. The mark is a private character; where the text holds it already, another stands for it.
     """
     t, p = F.col(text), F.lit(pattern)
-    found, parts = F.regexp_extract_all(t, p, F.lit(0)), F.split(t, pattern, -1)
-    def line(i: Column) -> Column:
-        before = F.concat(F.slice(parts, F.lit(1), i + 1), F.slice(found, F.lit(1), i))
-        return F.aggregate(before, F.lit(1), lambda n, x: n + newlines(x))
-
-    rows = F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.struct(F.get(found, i).alias("match"), line(i).alias("line")))
-    return F.when(F.size(found) > 0, rows).otherwise(F.array().cast("array<struct<match:string,line:int>>"))
+    marked = F.regexp_replace(F.translate(t, MARK, OTHER_MARK), p, F.lit(f"{MARK}$0"))
+    marks = lambda line: F.length(line) - F.length(F.replace(line, F.lit(MARK), F.lit("")))
+    lines = F.flatten(F.transform(F.split(marked, "\n", -1), lambda line, i: F.array_repeat(i + 1, marks(line))))
+    found = F.regexp_extract_all(t, p, F.lit(0))
+    return F.coalesce(F.arrays_zip(found.alias("match"), lines.alias("line")).cast("array<struct<match:string,line:int>>"), F.array().cast("array<struct<match:string,line:int>>"))
 
 
 def normalised(text: Column) -> Column:

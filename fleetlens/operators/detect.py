@@ -68,6 +68,7 @@ def matches(files: DataFrame, wanted: list[tuple[str, int, str]], kind: str = "r
 
 
 def event_patterns(attribute: str) -> list[str]:
+    """How an event is named where it is observed; fixed values."""
     return [rf"observe\s*\([^)]*\bon\.{attribute}\b", rf"observe\s*\([^)]*\bon\[\s*['\"]{attribute}['\"]\s*\]"]
 
 
@@ -146,7 +147,7 @@ def requires_interface(relations: DataFrame, described: DataFrame, wanted: DataF
     hits = relations.where("role = 'requires'").join(one, "interface")
     plain = _evidence(hits.where("not invert"), "requires-interface", line=F.lit(0), snippet=F.concat_ws(": ", "name", "interface"))
     units = described.groupBy("slug").agg(F.min("path").alias("path"))
-    none = units.crossJoin(F.broadcast(wanted.where("coalesce(invert, false)").select("owner", "det_ord"))).join(hits.select("slug", "owner", "det_ord"), ["slug", "owner", "det_ord"], "left_anti")
+    none = units.crossJoin(wanted.where("coalesce(invert, false)").select("owner", "det_ord")).join(hits.select("slug", "owner", "det_ord"), ["slug", "owner", "det_ord"], "left_anti")
     return plain.unionByName(_evidence(none, "requires-interface", order=F.lit(0), line=F.lit(0), snippet=F.lit("none of the interfaces")))
 
 
@@ -158,7 +159,7 @@ def relation_count(relations: DataFrame, metadata: DataFrame, wanted: DataFrame)
     named = relations.groupBy("slug", "role", "name").agg(F.bool_or("optional").alias("optional"))
     n = named.groupBy("slug", "role").agg(F.count("*").alias("every"), F.count_if("optional").alias("some"))
     units = metadata.groupBy("slug").agg(F.min("path").alias("path"))
-    rows = units.crossJoin(F.broadcast(wanted)).join(n, ["slug", "role"], "left")
+    rows = units.crossJoin(wanted).join(n, ["slug", "role"], "left")
     count = F.coalesce(F.when(F.coalesce("optional", F.lit(False)), F.col("some")).otherwise(F.col("every")), F.lit(0))
     rows = rows.withColumn("n", count).where((F.col("n") >= F.col("min")) & (F.col("max").isNull() | (F.col("n") <= F.col("max"))))
     return _evidence(rows, "relation-count", order=F.lit(0), line=F.lit(0), snippet=F.concat(F.col("n").cast("string"), F.lit(" "), F.col("role")))
@@ -171,14 +172,15 @@ def pytest_keys(settings: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def facts(evidence: DataFrame, units: DataFrame, features: DataFrame) -> DataFrame:
-    """``slug, feature, feature_ord, present, evidence`` of every unit and feature, evidence in order."""
-    shown = evidence.groupBy("slug", F.col("owner").alias("feature")).agg(F.array_sort(F.collect_list(F.struct("file", "ev_ord", "det_ord", "line", "detector_kind", "snippet"))).alias("e"))
-    every = units.select("slug").crossJoin(F.broadcast(features.select("feature", "feature_ord"))).join(shown, ["slug", "feature"], "left")
+    """``slug, feature, feature_ord, present, evidence`` of every unit and feature. Evidence of metadata and settings comes first."""
+    by_file = ~F.col("detector_kind").isin("pytest-config-key", "requires-interface", "relation-count", "yaml-key")
+    shown = evidence.groupBy("slug", F.col("owner").alias("feature")).agg(F.array_sort(F.collect_list(F.struct(by_file.alias("p"), F.when(by_file, 0).otherwise(F.col("det_ord")).alias("d"), "file", "det_ord", "ev_ord", "line", "detector_kind", "snippet"))).alias("e"))
+    every = units.select("slug").crossJoin(features.select("feature", "feature_ord")).join(shown, ["slug", "feature"], "left")
     own = F.transform("e", lambda x: F.struct(x["file"].alias("file"), x["line"].alias("line"), x["detector_kind"].alias("detector_kind"), x["snippet"].alias("snippet")))
     return every.select("slug", "feature", "feature_ord", F.col("e").isNotNull().alias("present"), F.coalesce(own, F.array().cast("array<struct<file:string,line:int,detector_kind:string,snippet:string>>")).alias("evidence"))
 
 
 def architectures(evidence: DataFrame, patterns: DataFrame) -> DataFrame:
     """``slug, architecture``: patterns with evidence, in the order of the catalogue (pattern_ord, pattern)."""
-    rows = evidence.select("slug", F.col("owner").alias("pattern")).distinct().join(F.broadcast(patterns), "pattern")
+    rows = evidence.select("slug", F.col("owner").alias("pattern")).distinct().join(patterns, "pattern")
     return rows.groupBy("slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("pattern_ord", "pattern"))), lambda x: x["pattern"]).alias("architecture"))

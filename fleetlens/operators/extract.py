@@ -1,7 +1,8 @@
 """Tables of what source files say. Each file is parsed once by a worker; all detectors are queries on these tables.
 
 ``python_facts``: kind is import, from, call, self_call or observe; ``ord`` numbers statements and calls breadth first.
-``yaml_docs``: a document as JSON, with its keys at any depth, own keys before those of children.
+``yaml_docs``: a document as JSON, with its keys at any depth, own keys before those of children, and how many documents,
+empty ones too, its file holds.
 ``settings``: sections of test configuration. Files that don't parse, and null texts, give no rows.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PYTHON = "slug string, path string, ord int, kind string, line int, module string, names array<string>, chain array<string>, cls int, method string, is_async boolean, event string, handler string, snippet string"
-YAML = "slug string, path string, doc int, json string, keys array<string>"
+YAML = "slug string, path string, doc int, json string, keys array<string>, docs int"
 SETTINGS = "slug string, path string, section string, key string, value string"
 #: Sections of test configuration by file name; fixed values.
 SECTIONS = {"pytest.ini": "pytest", "setup.cfg": "tool:pytest", "tox.ini": "pytest"}
@@ -93,8 +94,8 @@ def _of_yaml(_path: str, text: str) -> Iterator[tuple]:
     import yaml
 
     try:
-        docs = [d for d in yaml.safe_load_all(text) if d]
-        made = [(i, json.dumps(d, default=str), list(_keys(d))) for i, d in enumerate(docs)]
+        every = list(yaml.safe_load_all(text))
+        made = [(i, json.dumps(d, default=str), list(_keys(d)), len(every)) for i, d in enumerate(d for d in every if d)]
     except (yaml.YAMLError, ValueError, TypeError, RecursionError):
         return  # an error anywhere discards the whole file
     yield from made

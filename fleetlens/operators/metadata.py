@@ -25,10 +25,11 @@ _NONE = "array<string>"
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``slug, path, rank, d``: the first document of each metadata file, if it is a mapping."""
-    rows = docs.where(is_metadata(F.col("path")) & (F.col("doc") == 0) & F.col("json").startswith("{"))
+    """``slug, path, rank, d, declared``: metadata files that hold one document, a mapping; ``declared`` is its name, if that is text."""
+    rows = docs.where(is_metadata(F.col("path")) & (F.col("docs") == 1) & F.col("json").startswith("{"))
+    named = F.try_variant_get(F.try_parse_json("json"), "$.name", "variant")
     rank = F.struct(F.array_position(F.array(*map(F.lit, METADATA)), F.element_at(parts(F.col("path")), -1)).alias("of"), F.col("path").alias("at"))
-    return rows.select("slug", "path", rank.alias("rank"), F.from_json("json", DOC).alias("d"))
+    return rows.select("slug", "path", rank.alias("rank"), F.from_json("json", DOC).alias("d"), F.when(F.schema_of_variant(named) == "STRING", named.cast("string")).alias("declared"))
 
 
 def relations(own: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def from_documents(docs: DataFrame) -> DataFrame:
         F.bool_or(F.size(F.coalesce("d.containers", F.create_map().cast("map<string,string>"))) > 0).alias("has_containers"),
         F.bool_or(F.coalesce(F.lower(F.trim("d.subordinate")) == "true", F.lit(False))).alias("is_subordinate"),
         _in_order(F.map_keys(options)).alias("config_keys"), _in_order(of_type).alias("secret_typed_config"),
-        F.min_by("d.name", F.when(F.col("d.name").isNotNull(), F.col("rank"))).alias("charm_name"),
+        F.min_by("declared", F.when(F.col("declared").isNotNull(), F.col("rank"))).alias("charm_name"),
         _in_order(plugins).alias("charmcraft_plugins"), _in_order(bases).alias("bases"), F.min_by(least, F.when(least.isNotNull(), F.col("rank"))).alias("min_juju_version"),
     ).withColumn("secret_like_config", F.filter("config_keys", lambda k: k.rlike(SECRET)))
 

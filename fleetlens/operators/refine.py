@@ -16,7 +16,6 @@ ELIGIBLE = ("ops.secrets", "ops.collect-status", "ops.pebble-custom-notice", "op
 VERDICTS = ("clear-gap", "worth-considering")
 LONGEST, TTL_DAYS, MOST_CALLS, MOST_USD = 200, 30, 200, 5.0
 USD_IN, USD_OUT, TOKENS_IN, TOKENS_OUT = 0.80e-6, 4.00e-6, 950, 80
-_ANSWER = "struct<verdict:string,rationale:string,evidence_path:string>"
 
 
 def eligible(facts: DataFrame, units: DataFrame, features: tuple[str, ...] = ELIGIBLE) -> DataFrame:
@@ -61,13 +60,21 @@ def cost(tokens_in: Column, tokens_out: Column) -> Column:
 
 
 def outcome(raw: Column, allowed: Column) -> Column:
-    """ok, parse-error or invalid-path."""
-    parsed = F.from_json(raw, _ANSWER)
-    fields = F.from_json(raw, "map<string,string>")
-    why = parsed["rationale"]
-    sound = fields.isNotNull() & parsed["verdict"].isin(*VERDICTS) & F.length(why).between(1, LONGEST)
-    path = parsed["evidence_path"]
-    return F.when(~F.coalesce(sound, F.lit(False)), "parse-error").when(path.isNotNull() & ~F.array_contains(allowed, path), "invalid-path").otherwise("ok")
+    """ok, parse-error or invalid-path, for the answer as a whole: nothing may follow the JSON, and fields are text.
+
+    A path that is text but isn't allowed makes any JSON object an invalid-path, whatever else is wrong with it.
+    """
+    # the parser stops after the first value; as the only element of a list and the only member of an object nothing can follow it
+    listed, member = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"a":'), raw, F.lit("}")))
+    alone = member.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    whole = F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+    field = lambda name: F.try_variant_get(whole, f"$.{name}", "variant")
+    text = lambda name: F.when(F.schema_of_variant(field(name)) == "STRING", F.try_variant_get(whole, f"$.{name}", "string"))
+    path, kind = text("evidence_path"), F.schema_of_variant(field("evidence_path"))
+    fits = F.coalesce(F.array_contains(allowed, path), F.lit(False))
+    sound = whole.isNotNull() & text("verdict").isin(*VERDICTS) & F.length(text("rationale")).between(1, LONGEST) & (fits | F.coalesce(kind == "VOID", F.lit(True)))
+    elsewhere = (path != "") & ~fits
+    return F.when(F.coalesce(sound, F.lit(False)), "ok").when(F.coalesce(elsewhere, F.lit(False)), "invalid-path").otherwise("parse-error")
 
 
 def pruned(cache: DataFrame, now: Column, days: int = TTL_DAYS) -> DataFrame:

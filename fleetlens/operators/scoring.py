@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 GAP, WORTH, NA = "clear-gap", "worth-considering", "not-applicable"
 #: Architectures that leave no event handlers to look at, in this order; fixed values.
 SUPPRESSING = ("component-graph", "reconcile-all", "reconcile", "unconditional-init")
+#: Features whose evidence is an event handler; fixed values.
 BY_EVENT = ("ops.pebble-ready", "ops.collect-status")
 
 
@@ -69,6 +70,6 @@ def scored(facts: DataFrame, units: DataFrame) -> DataFrame:
 def exclude_features(facts: DataFrame, units: DataFrame, overrides: DataFrame) -> DataFrame:
     """``overrides``: url, sub_path, feature, reason. Sets the label whether the feature is present or not; an empty reason does nothing."""
     where = units.select("slug", F.col("repo_url").alias("url"), F.coalesce("subpath", F.lit("")).alias("sub_path"))
-    rows = facts.join(where, "slug", "left").join(F.broadcast(overrides), ["url", "sub_path", "feature"], "left")
+    rows = facts.join(where, "slug", "left").join(overrides, ["url", "sub_path", "feature"], "left")
     hit = F.coalesce(F.col("reason"), F.lit("")) != ""
     return rows.withColumn("score", F.when(hit, NA).otherwise(F.col("score"))).withColumn("rationale", F.when(hit, F.col("reason")).otherwise(F.col("rationale"))).select(*facts.columns)

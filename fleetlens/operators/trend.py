@@ -73,13 +73,13 @@ def timeline(facts: DataFrame, units: DataFrame, feature: str | None = None, slu
     if feature is not None:
         rows = rows.where(F.col("feature") == feature)
     names = units.select("slug").distinct()
-    grid = (names if slug is None else names.where(F.col("slug") == slug)).crossJoin(F.broadcast(rows.select("feature").distinct())).crossJoin(F.broadcast(units.select("date").distinct()))
+    grid = (names if slug is None else names.where(F.col("slug") == slug)).crossJoin(rows.select("feature").distinct()).crossJoin(units.select("date").distinct())
     there = units.select("date", "slug").distinct().withColumn("in_corpus", F.lit(True))
-    scanned = F.broadcast(facts.select("date", "feature").distinct().withColumn("scanned", F.lit(True)))
+    scanned = facts.select("date", "feature").distinct().withColumn("scanned", F.lit(True))
     out = grid.join(there, ["date", "slug"], "left").join(scanned, ["date", "feature"], "left").join(rows.select("date", "slug", "feature", "present", "score"), ["date", "slug", "feature"], "left")
     out = out.withColumn("state", cell_state(F.col("in_corpus"), F.col("scanned"), F.col("present"), F.col("score")))
-    lively = out.groupBy("slug", "feature").agg(F.bool_or(~F.col("state").isin("not-in-corpus", "not-scanned")).alias("some")).where("some").select("slug", "feature")
-    return out.join(lively, ["slug", "feature"]).select("slug", "feature", "date", "state")
+    rows = cells(out.select("slug", "feature", "date", "state")).where(F.exists("cells", lambda c: ~c["state"].isin("not-in-corpus", "not-scanned")))
+    return rows.select("slug", "feature", F.inline("cells"))
 
 
 def cell_state(in_corpus: Column, scanned: Column, present: Column, score: Column) -> Column:

@@ -23,12 +23,13 @@ def with_architecture(units: DataFrame) -> DataFrame:
     """``arch``, by name; where names repeat the last unit wins."""
     own = units.select("name", F.struct("unit_ord", primary_architecture(F.col("architecture"), F.col("is_reactive"), F.col("is_legacy_classic")).alias("arch")).alias("x"))
     by_name = own.groupBy("name").agg(F.max("x").alias("x")).select("name", F.col("x.arch").alias("arch"))
-    return units.join(by_name, "name")
+    by_name = by_name.withColumnRenamed("name", "of_name")
+    return units.join(by_name, F.col("name").eqNullSafe(F.col("of_name"))).drop("of_name")
 
 
 def grid(units: DataFrame, facts: DataFrame, features: DataFrame) -> DataFrame:
     """Every unit with every feature; a missing record is absent and not applicable."""
-    every = units.select("unit_ord", "slug", "name").crossJoin(F.broadcast(features.select("feature", "feature_ord")))
+    every = units.select("unit_ord", "slug", "name").crossJoin(features.select("feature", "feature_ord"))
     rows = every.join(facts.select("slug", "feature", "present", "score", *[c for c in ("rationale", "ai_escalated", "evidence") if c in facts.columns]), ["slug", "feature"], "left")
     return rows.withColumn("present", F.coalesce("present", F.lit(False))).withColumn("score", F.when(~F.col("present"), F.coalesce("score", F.lit(NA))))
 
@@ -40,7 +41,7 @@ def feature_view(units: DataFrame, facts: DataFrame, features: DataFrame) -> Dat
         F.count_if("present").alias("present"), F.count_if(is_gap).alias("clear_gap"), F.count_if(is_gap & ai).alias("clear_gap_ai"),
         F.count_if(F.col("score") == WORTH).alias("worth"), F.count_if(F.col("score") == NA).alias("na"),
     )
-    out = out.join(F.broadcast(features.select("feature", "expected_rare")), "feature")
+    out = out.join(features.select("feature", "expected_rare"), "feature")
     return out.withColumn("low_count", (F.col("present") < LOW_COUNT) & ~F.col("expected_rare"))
 
 
@@ -77,6 +78,26 @@ def unit_view(units: DataFrame, facts: DataFrame) -> DataFrame:
     return out.select("unit_ord", "slug", "name", "team", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("present", "clear_gap", "clear_gap_ai", "worth")), *(F.coalesce(c, none).alias(c) for c in ("present_features", "gap_features")))
 
 
+def unit_labels(units: DataFrame) -> DataFrame:
+    """``slug, flags, arch_labels, stack, search``: what the page shows and searches. ``units`` may lack some of the facts."""
+    there = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in units.columns else F.lit(False)
+    some = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in units.columns else F.array().cast("array<string>")
+    flags = F.array_compact(F.array(*(F.when(there(c), name) for c, name in (("provides_own_library", "lib-provider"), ("is_subordinate", "subordinate"), ("is_workload_less", "workload-less"), ("has_terraform_module", "terraform")))))
+    labels = F.when(there("is_reactive"), F.array(F.lit("reactive"))).when(there("is_legacy_classic"), F.array(F.lit("legacy-classic"))).when(F.size(some("architecture")) > 0, some("architecture")).otherwise(F.array(F.lit(ARCH_ORDER[-1])))
+    version = F.coalesce(F.col("min_juju_version"), F.lit("")) if "min_juju_version" in units.columns else F.lit("")
+    ends = F.array(F.when(version != "", F.concat(F.lit("juju "), version)).otherwise(""), F.when(there("has_terraform_module"), "terraform").otherwise(""))
+    stack = F.trim(F.array_join(F.concat(F.array(F.when(there("has_containers"), "k8s").otherwise("machine")), some("charmcraft_plugins"), some("bases"), some("tooling"), ends), " "))
+    blob = F.lower(F.concat_ws(" ", "name", "team", F.array_join(labels, " "), stack, F.array_join(flags, " ")))
+    return units.select("slug", flags.alias("flags"), labels.alias("arch_labels"), stack.alias("stack"), blob.alias("search"))
+
+
+def unit_gaps(facts: DataFrame) -> DataFrame:
+    """``slug, gaps``: the gaps of each unit in the order of the catalogue, with rationale and whether a model escalated them."""
+    ai = F.coalesce(F.col("ai_escalated"), F.lit(False)) if "ai_escalated" in facts.columns else F.lit(False)
+    rows = facts.where(~F.col("present") & (F.col("score") == GAP)).groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("feature_ord", "feature", F.coalesce("rationale", F.lit("")).alias("rationale"), ai.alias("ai_escalated")))).alias("gs"))
+    return rows.select("slug", F.transform("gs", lambda g: F.struct(g["feature"].alias("feature"), g["rationale"].alias("rationale"), g["ai_escalated"].alias("ai_escalated"))).alias("gaps"))
+
+
 def _team(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", NO_TEAM).otherwise(c)
 

@@ -1,4 +1,4 @@
-"""Cuts lineage by a table in the shared folder of ``spark.checkpoint.dir`` (a local folder only where that is unset)."""
+"""Cuts lineage by a table in the shared folder of ``spark.checkpoint.dir``; only a local session may do without that setting."""
 
 from __future__ import annotations
 
@@ -10,7 +10,14 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame) -> DataFrame:
-    base = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
+    if "://" not in base and base.startswith("/"):
+        base = "file://" + base
     path = f"{base.rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

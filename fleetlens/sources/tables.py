@@ -9,7 +9,12 @@ from fleetlens.functions.text import name_from_url, slug, strip_all
 
 #: Column of the corpus file by field; fixed values.
 CORPUS = {"team": "Team", "name": "Charm Name", "repo_url": "Repository", "branch": "Branch (if not the default)", "key_charm": "Key Charm for this Team", "notes": "Notes"}
-META = "architecture array<string>, has_containers boolean, is_reactive boolean, is_legacy_classic boolean, repo_sha string, library_names array<string>, tooling array<string>, bases array<string>"
+#: Reason of an override that gives none; fixed value.
+DEFAULT_REASON = "excluded by corpus-overrides.yaml"
+#: All facts of a unit, by type; those that a record lacks are false, empty, 0 or null.
+FLAGS = ("has_containers", "has_integration_tests", "is_reactive", "is_legacy_classic", "is_subordinate", "is_workload_less", "provides_own_library", "has_terraform_module")
+LISTS = ("architecture", "config_keys", "secret_like_config", "secret_typed_config", "charmcraft_plugins", "bases", "library_names", "tooling")
+META = ", ".join([*(f"{c} boolean" for c in FLAGS), *(f"{c} array<string>" for c in LISTS), "relations array<struct<name:string,role:string,interface:string>>", "charm_name string", "min_juju_version string", "repo_sha string", "library_count int"])
 RECORD = "present boolean, score string, rationale string, ai_escalated boolean, evidence array<struct<file:string,line:int,detector_kind:string,snippet:string>>"
 
 
@@ -39,7 +44,7 @@ def overrides(spark: SparkSession, path: str | None) -> dict[str, DataFrame]:
         with open(path, encoding="utf-8") as f:
             doc = yaml.safe_load(f) or {}
     entries = lambda key: [e for e in doc.get(key) or [] if isinstance(e, dict) and e.get("url")]
-    why = lambda e: str(e.get("reason") or "excluded")
+    why = lambda e: str(e.get("reason", DEFAULT_REASON))
     exclude = {e["url"]: why(e) for e in entries("exclude")}
     branch = {e["url"]: str(e["branch"]) for e in entries("branch_overrides") if e.get("branch")}
     sub = {(e["url"], str(s)): why(e) for e in entries("sub_charm_excludes") for s in e.get("sub_paths") or []}
@@ -70,12 +75,23 @@ def results(spark: SparkSession, path: str, date_from_name: bool = False) -> tup
     of = F.from_json("u.value", "name string, team string, repo_url string, subpath string, features map<string,string>")
     unit = unit.select(*keys, "unit_ord", F.col("u.key").alias("slug"), of.alias("r"))
     meta = F.from_json(F.try_element_at("r.features", F.lit("__meta__")), META)
-    units = unit.select(*keys, "unit_ord", "slug", "r.name", "r.team", "r.repo_url", "r.subpath", meta.alias("meta")).select(*keys, "unit_ord", "slug", "name", "team", "repo_url", "subpath", "meta.*")
+    units = unit.select(*keys, "unit_ord", "slug", "r.name", "r.team", "r.repo_url", "r.subpath", meta.alias("meta")).select(*keys, "unit_ord", "slug", "name", "team", "repo_url", "subpath", *(_fact(c) for c in (*FLAGS, *LISTS, "relations", "charm_name", "min_juju_version", "repo_sha", "library_count")))
     facts = unit.select(*keys, "slug", F.posexplode(F.map_entries("r.features")).alias("feature_ord", "f")).where("not startswith(f.key, '__')")
     facts = facts.select(*keys, "slug", F.col("f.key").alias("feature"), "feature_ord", F.from_json("f.value", RECORD).alias("x")).select(*keys, "slug", "feature", "feature_ord", "x.*")
     return units, facts.withColumn("present", F.coalesce("present", F.lit(False)))
 
 
+def _fact(name: str) -> Column:
+    c = F.col(f"meta.{name}")
+    if name in FLAGS:
+        return F.coalesce(c, F.lit(False)).alias(name)
+    if name in LISTS:
+        return F.coalesce(c, F.array().cast("array<string>")).alias(name)
+    if name == "relations":
+        return F.coalesce(c, F.array().cast("array<struct<name:string,role:string,interface:string>>")).alias(name)
+    return (F.coalesce(c, F.lit(0)) if name == "library_count" else c).alias(name)
+
+
 def documents(units: DataFrame, facts: DataFrame) -> DataFrame:
     """``slug, record``: a JSON record for each unit, features in their order; nulls are left out."""
     record = F.struct(*(c for c in ("present", "score", "rationale", "ai_escalated", "evidence") if c in facts.columns))

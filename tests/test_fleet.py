@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens import catalog
+from fleetlens import catalog, scan_queries  # noqa: F401  (registers its queries)
 from fleetlens.functions import text as tx
 from fleetlens.operators import pairs, refine, search, trend
 

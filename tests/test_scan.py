@@ -122,7 +122,7 @@ def test_corpus_and_results(spark, tmp_path):
     assert [(r.team, r.name, r.branch, r.key_charm, r.slug) for r in got] == [("A", "x", None, False, "x"), ("B", "n", "dev", False, "y")]
     (tmp_path / "scored-2024-01-01.json").write_text('{"__skipped__": {"z": "r"}, "b": {"name": "b", "repo_url": "u", "features": {"__meta__": {"has_containers": true}, "f": {"present": true, "evidence": []}, "e": {"present": false, "score": "clear-gap"}}}, "a": {"name": "a", "features": {}}}')
     units, facts = tables.results(spark, str(tmp_path / "scored-*.json"), date_from_name=True)
-    assert [(r.date, r.slug, r.has_containers) for r in units.orderBy("unit_ord").collect()] == [("2024-01-01", "b", True), ("2024-01-01", "a", None)]
+    assert [(r.date, r.slug, r.has_containers) for r in units.orderBy("unit_ord").collect()] == [("2024-01-01", "b", True), ("2024-01-01", "a", False)]
     assert rows(facts, "slug", "feature", "present") == [("b", "e", False), ("b", "f", True)]
     made = tables.documents(units, facts).orderBy("unit_ord").collect()
     assert '"f":{"present":true' in made[0].record and made[1].slug == "a"
