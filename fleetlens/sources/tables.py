@@ -103,3 +103,44 @@ def documents(units: DataFrame, facts: DataFrame) -> DataFrame:
 def write_facts(facts: DataFrame, path: str, date: str) -> None:
     """The store: Parquet, a partition for each snapshot; writing a date again replaces it alone."""
     facts.withColumn("date", F.lit(date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+
+
+def write_results(units: DataFrame, facts: DataFrame, path: str, skipped: DataFrame | None = None) -> None:
+    """One JSON file: a record for each unit in order, its facts as ``__meta__``, and ``__skipped__`` if anything was.
+
+    The format is a single document, so the driver writes it, row by row; ``write_facts`` is the store for large fleets.
+    """
+    import json
+
+    meta = F.to_json(F.struct(*(c for c in units.columns if c not in ("unit_ord", "slug", "name", "team", "repo_url", "subpath")))).alias("meta")
+    rows = documents(units, facts).join(units.select("slug", meta), "slug").orderBy("unit_ord")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("{")
+        comma = ""
+        for r in rows.toLocalIterator():
+            record = json.loads(r["record"])
+            record["features"] = {**record.get("features", {}), "__meta__": json.loads(r["meta"])}
+            f.write(f"{comma}\n{json.dumps(r['slug'])}: {json.dumps(record, indent=2)}")
+            comma = ","
+        left_out = {} if skipped is None else {r["slug"]: r["reason"] for r in skipped.orderBy("slug").toLocalIterator()}
+        if left_out:
+            f.write(f'{comma}\n"__skipped__": {json.dumps(left_out, indent=2)}')
+        f.write("\n}\n")
+
+
+def pairs(spark: SparkSession, path: str) -> DataFrame:
+    """The pairs of a pairs file."""
+    of = "array<struct<root:string,k8s_name:string,machine_name:string,k8s_url:string,machine_url:string,confidence:string,same_repo:boolean,shares_charmlib:boolean>>"
+    return spark.read.schema(f"pairs {of}").json(path, multiLine=True).select(F.inline("pairs"))
+
+
+def ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """``slug, feature, human_verdict`` of a file of human verdicts."""
+    rows = spark.read.schema("charm_slug string, feature_id string, human_verdict string").json(path, multiLine=True)
+    return rows.select(F.col("charm_slug").alias("slug"), F.col("feature_id").alias("feature"), "human_verdict")
+
+
+def verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """The cache: a JSON file for each key, or lines of JSON; entries that can't be read are left out."""
+    ddl = "key string, charm_slug string, feature_id string, verdict string, rationale string, evidence_path string, model string, charm_sha string, timestamp string"
+    return spark.read.schema(ddl).json(path, multiLine=True, mode="DROPMALFORMED").where("key is not null")

@@ -1,9 +1,10 @@
 """From stored results to views, and the catalogue from a file."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.functions import text as tx
-from fleetlens.operators import extract, metadata, scan, views
+from fleetlens.operators import excerpts, extract, metadata, scan, views
 from fleetlens.sources import catalogue, tables
 
 
@@ -47,3 +48,31 @@ def test_lines_of_many_matches_and_of_marks(spark):
 def test_units_without_a_name_keep_their_architecture(spark):
     u = spark.createDataFrame([(0, "a", None, ["reconcile"], False, False), (1, "b", "n", [], True, False)], "unit_ord int, slug string, name string, architecture array<string>, is_reactive boolean, is_legacy_classic boolean")
     assert sorted((r.slug, r.arch) for r in views.with_architecture(u).collect()) == [("a", "reconcile"), ("b", "reactive")]
+
+
+def test_excerpts_and_context(spark):
+    text = "".join(f"l{i}\n" for i in range(1, 31))
+    files = spark.createDataFrame([("u", "a.py", text), ("u", "b.py", None)], "slug string, path string, text string")
+    ddl = "slug string, feature string, evidence array<struct<file:string,line:int,detector_kind:string,snippet:string>>"
+    facts = spark.createDataFrame([("u", "f", [("b.py", 1, "k", "s"), ("a.py", 15, "k", "s"), ("a.py", 2, "k", "s"), ("gone", 1, "k", "s")]), ("u", "g", [])], ddl)
+    got = excerpts.excerpts(facts, files).collect()
+    assert len(got) == 1 and [(e.path, e.content) for e in got[0].excerpts] == [("a.py", "\n".join(f"l{i}" for i in range(5, 26)))]
+    lines = files.where("path = 'a.py'").select(excerpts.context(F.col("text"), F.lit(2))).collect()[0][0]
+    assert lines == ["     1  l1", "→    2  l2", "     3  l3", "     4  l4", "     5  l5"]
+
+
+def test_results_round_trip(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"b": {"name": "b", "repo_url": "u", "features": {"__meta__": {"bases": ["x@1"]}, "f": {"present": true, "evidence": []}}}, "a": {"name": "a", "repo_url": "v", "features": {}}}')
+    units, facts = tables.results(spark, str(tmp_path / "r.json"))
+    tables.write_results(units, facts, str(tmp_path / "w.json"), spark.createDataFrame([("z", "clone failed")], "slug string, reason string"))
+    units2, facts2 = tables.results(spark, str(tmp_path / "w.json"))
+    assert [(r.slug, r.bases) for r in units2.orderBy("unit_ord").collect()] == [("b", ["x@1"]), ("a", [])]
+    assert [(r.slug, r.feature, r.present) for r in facts2.collect()] == [("b", "f", True)] and '"__skipped__"' in (tmp_path / "w.json").read_text()
+    (tmp_path / "g.json").write_text('[{"charm_slug": "a", "feature_id": "f", "human_verdict": "clear-gap"}]')
+    assert tuple(tables.ground_truth(spark, str(tmp_path / "g.json")).collect()[0]) == ("a", "f", "clear-gap")
+    (tmp_path / "p.json").write_text('{"pairs": [{"root": "x", "confidence": "high"}]}')
+    assert [r.root for r in tables.pairs(spark, str(tmp_path / "p.json")).collect()] == ["x"]
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache" / "k.json").write_text('{"key": "k", "verdict": "clear-gap"}')
+    (tmp_path / "cache" / "odd.json").write_text("{odd")
+    assert [r.key for r in tables.verdicts(spark, str(tmp_path / "cache")).collect()] == ["k"]
