@@ -1,6 +1,6 @@
-"""Registered queries of the scan half: trees made from the rows of ``customer``, scanned with the built-in catalogue.
+"""Registered queries of the scan half: trees made from the rows of ``supplier``, scanned with the built-in catalogue.
 
-The tree of a customer's key ``k`` says by remainders of ``k`` what the unit holds, so the SQL can tell what a scan must find.
+The tree of a supplier's key ``k`` says by remainders of ``k`` what the unit holds, so the SQL can tell what a scan must find.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def _relations(role: str, n: str, each: str) -> Column:
 
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``slug, path, text``."""
-    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    t = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
     interface = "case when i > 0 then 'other' when k % 3 = 0 then 'mysql' when k % 3 = 1 then 'redis' else 'ingress' end"
     name = F.expr("case when k % 48 = 1 then 'data-platform-libs' else concat('app-', k) end")
     meta = F.concat(
@@ -69,7 +69,7 @@ SHOWN = {
 }
 NAMES = ", ".join(f"('{e.name}')" for e in built_in()[0])
 TREES = f"""
-    t as (select c_custkey as k, 'c' || c_custkey as slug from customer),
+    t as (select s_suppkey as k, 'c' || s_suppkey as slug from supplier),
     g as (select t.k, t.slug, n.feature, case n.feature {' '.join(f"when '{f}' then {c}" for f, c in SHOWN.items())} else false end as present from t cross join (values {NAMES}) n(feature))
 """
 GAP, WORTH, NA = "'clear-gap'", "'worth-considering'", "'not-applicable'"
@@ -101,7 +101,7 @@ def scan_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with t as (select c_custkey as k from customer)
+    with t as (select s_suppkey as k from supplier)
     select 'c' || k as slug, case when k % 48 = 1 then 'data-platform-libs' else 'app-' || k end as charm_name, k % 2 = 0 as has_containers, cast(k % 13 + k % 8 as int) as relations,
         case k % 5 when 0 then '' when 4 then 'port' when 3 then 'admin-password api-key' else 'admin-password' end as config_keys,
         case k % 5 when 0 then '' when 4 then '' when 3 then 'admin-password api-key' else 'admin-password' end as secret_like_config,
@@ -121,13 +121,13 @@ def scan_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with r as (select distinct c_custkey % 90 as j from customer),
+    with r as (select distinct s_suppkey % 90 as j from supplier),
     w as (select j, 'r' || j as slug, case when j % 7 = 0 then 'archived' when j % 5 = 0 then 'clone failed' when j % 5 = 1 then 'no charmcraft.yaml or metadata.yaml found' end as reason from r),
     s as (select j, slug || s.sub as slug, s.sub = '/b' and j % 4 = 0 as gone from w, (values (3, '/a'), (3, '/b'), (2, ''), (4, '/x/y')) s(kind, sub) where reason is null and j % 5 = s.kind)
     select slug, reason from w where reason is not null union all select slug, case when gone then 'not a unit' end from s
 """)
 def scan_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("ord"), (F.col("c_custkey") % 90).cast("long").alias("j"))
+    k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("ord"), (F.col("s_suppkey") % 90).cast("long").alias("j"))
     refs = k.select("ord", F.lit("t").alias("team"), F.concat(F.lit("r"), "j").alias("name"), F.concat(F.lit("r"), "j").alias("slug"), F.concat(F.lit("https://h/r"), "j").alias("repo_url"), F.lit(None).cast("string").alias("branch"))
     paths = F.expr("case j % 5 when 1 then array('src/charm.py') when 2 then array('metadata.yaml', 'a/metadata.yaml') when 3 then array('a/charmcraft.yaml', 'b/metadata.yaml', 'tests/c/metadata.yaml', 'b/d/metadata.yaml') when 4 then array('x/y/metadata.yaml', '.z/metadata.yaml') else array() end")
     files = k.select("j").distinct().select(F.concat(F.lit("r"), "j").alias("slug"), F.explode(paths.cast("array<string>")).alias("path"), F.lit("name: x").alias("text"))
@@ -141,7 +141,7 @@ def scan_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with t as (select c_custkey as k from customer), x as (select 'c' || k as slug, unnest(range(k % 13)) as i, 'requires' as role, k from t union all select 'c' || k, unnest(range(k % 8)), 'provides', k from t)
+    with t as (select s_suppkey as k from supplier), x as (select 'c' || k as slug, unnest(range(k % 13)) as i, 'requires' as role, k from t union all select 'c' || k, unnest(range(k % 8)), 'provides', k from t)
     select slug, role, case role when 'requires' then 'r' else 'p' end || i as name, case when role = 'provides' then 'http' when i > 0 then 'other' when k % 3 = 0 then 'mysql' when k % 3 = 1 then 'redis' else 'ingress' end as interface, role = 'requires' and i < k % 4 as optional from x
 """)
 def unit_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
