@@ -1,12 +1,12 @@
 """Operator 13, BPE encoding and decoding: speculate and verify.
 
 A text falls into pre-tokens (words), over whose borders no merge goes. For words that a worker hasn't met lately the longest
-matches, taken greedily from the left, are proposed. A sequence of tokens is what BPE gives exactly if each two neighbours
+matches, taken greedily from the left, are proposed (one run of an automaton over all new words of a batch). A sequence of tokens is what BPE gives exactly if each two neighbours
 are compatible: if merging their bytes alone gives these two tokens. Merges go by rising rank, so that is read off
 the derivations of both: from the whole tokens back to their bytes, the last merge is undone step by step, on the right side
 of the left token or on the left side of the right one; at no step may a merge over the border have a rank that
 comes before the merge undone last. All neighbours of all new words of a batch walk at once, in numpy. Only words in which
-a pair fails are merged exactly, by a heap of ranks in O(n log n). Merges that don't rise from parts to wholes, or that make a
+a pair fails are merged exactly: short ones all at once, a merge of each a step, long ones by a heap of ranks in O(n log n). Merges that don't rise from parts to wholes, or that make a
 token twice, would break the argument; then every word is merged exactly.
 
 Decoding joins the tokens' bytes and reads them as UTF-8, with the replacement character for what isn't.
@@ -24,7 +24,9 @@ import re
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from operator import itemgetter
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,18 +35,15 @@ from pyspark.sql import functions as F
 from fleetlens.llm.bpe import _GAP, _SPLITS, KEPT, Lately, _byte_chars
 from fleetlens.llm.common import claim, small_batches, with_text
 
-#: Texts whose new words are proposed and checked together.
-TOGETHER = 128
+#: Texts whose new words are proposed and checked together, bytes of a short word, and verdicts on pairs that a worker keeps.
+TOGETHER, SHORT, VERDICTS = 256, 64, 1 << 20
 _NEVER = 1 << 40
+#: Stands between words; no byte is read as this character.
+_BORDER = "\u0100"
 #: Where a text has one of these, the library's own pre-tokenizer splits it.
 _ODD = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")
 
 
-class _Bytes(dict):
-    def __missing__(self, key: int) -> bytes:
-        return b""
-
-
 class Codec:
     """A byte-level BPE of a file of the tokenizers library."""
 
@@ -64,15 +63,22 @@ class Codec:
         self.borders = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})") if self.special else None
         of = {c: b for b, c in enumerate(_byte_chars())}
         raw = {i: bytes(of[c] for c in t) for t, i in model["vocab"].items() if all(c in of for c in t)}
-        self.bytes_of = _Bytes(raw | {i: s.encode() for s, i in self.special.items()})
         self.id_of = {b: i for i, b in raw.items()}
-        self.byte_ids = [self.id_of.get(bytes([b]), -1) for b in range(256)]
+        self.byte_ids = np.array([self.id_of.get(bytes([b]), -1) for b in range(256)])
+        n = max([*raw, *self.special.values()], default=-1) + 1
+        whole = raw | {i: s.encode() for s, i in self.special.items()}
+        self.bytes_of = [whole.get(i, b"") for i in range(n)]
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.size = np.array([*map(len, self.bytes_of), 0], np.int64)  # an id that isn't in the file has no bytes
+        self.first = np.cumsum(self.size) - self.size
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         vocab = model["vocab"]
-        self._derive([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], max(self.bytes_of, default=0) + 1)
+        self._derive([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], n)
         self.words = Lately(self._word, KEPT // 3)
         self.chunks = Lately(self._chunk)
         self.ready: dict[str, bytes] = {}
+        self.found: dict[str, list[str]] = {}
+        self.seen, self.verdict = np.full(VERDICTS, -1), np.zeros(VERDICTS, bool)
         self.proposed = self.failed = 0
 
     @classmethod
@@ -85,10 +91,9 @@ class Codec:
 
     def _derive(self, merges: list[tuple[int, int, int]], n: int) -> None:
         """Which two tokens each one was merged from and at what rank; the pairs' ranks as a sorted table."""
-        self.rank, self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        self.rank, self.left, self.right = np.full(n, -1), np.full(n, -1), np.full(n, -1)
         self.merges = {(a, b): (r, c) for r, (a, b, c) in enumerate(merges)}
-        rows = np.array([(a, b, c) for a, b, c in merges], np.int64).reshape(-1, 3)
-        a, b, c = rows.T
+        a, b, c = self.product_of = np.array(merges, np.int64).reshape(-1, 3).T
         self.left[c], self.right[c], self.rank[c] = a, b, np.arange(len(c))
         key = a << 32 | b
         order = np.argsort(key, kind="stable")
@@ -96,13 +101,20 @@ class Codec:
         rises = len(np.unique(c)) == len(np.unique(key)) == len(c) and bool((np.maximum(self.rank[a], self.rank[b]) < np.arange(len(c))).all())
         # a token may be proposed if its own bytes are merged into it; by rising rank, so what is said of its parts is known
         sound = np.zeros(n, bool)
-        sound[[i for i in self.byte_ids if i >= 0]] = True
-        for x, y, z, ok in zip(a.tolist(), b.tolist(), c.tolist(), self.apart(a, b, np.arange(len(c))).tolist() if rises else [], strict=rises):
-            sound[z] = ok and sound[x] and sound[y]
-        self.known = {w: i for w, i in self.id_of.items() if rises and sound[i]}
-        self.longest: dict[bytes, int] = {}
-        for w in self.known:
-            self.longest[w[:2]] = max(self.longest.get(w[:2], 1), len(w))
+        sound[self.byte_ids[self.byte_ids >= 0]] = True
+        for x, y, z, ok in zip(a.tolist(), b.tolist(), c.tolist(), self.apart(a, b, np.arange(len(c))).tolist(), strict=True):
+            sound[z] = rises and ok and sound[x] and sound[y]
+        self.automaton = ahocorasick.Automaton()
+        self.automaton.add_word(_BORDER, -1)
+        for w, i in self.id_of.items():
+            if w and sound[i]:
+                self.automaton.add_word(w.decode("latin-1"), i)
+        self.automaton.make_automaton()
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], _NEVER)
 
     def apart(self, a: np.ndarray, b: np.ndarray, below: np.ndarray | int = _NEVER) -> np.ndarray:
         """Whether these neighbours stay apart when their bytes are merged, by merges of a rank under ``below`` only."""
@@ -111,9 +123,7 @@ class Codec:
         by_a = by_b = np.broadcast_to(np.asarray(below, np.int64), a.shape)
         by_a, by_b = by_a.copy(), by_b.copy() - 1  # what takes a comes first among equals, what takes b last
         while len(live):
-            key = a << 32 | b
-            at = np.searchsorted(self.pairs, key)
-            across = np.where(self.pairs[at] == key, self.pair_ranks[at], _NEVER)
+            across = self.ranks(a, b)
             crossed = (across < by_a) & (across <= by_b)
             out[live[crossed]] = False
             ra, rb = self.rank[a], self.rank[b]
@@ -124,25 +134,22 @@ class Codec:
             a, b = np.where(undo, self.right[a], a), np.where(undo, b, self.left[b])
         return out
 
-    def greedy(self, word: bytes) -> list[int] | None:
-        """Longest matches from the left; None if some byte begins none."""
-        known, longest = self.known, self.longest
-        if (whole := known.get(word)) is not None:
-            return [whole]
-        out, at, n = [], 0, len(word)
-        while at < n:
-            for end in range(min(n, at + longest.get(word[at : at + 2], 1)), at, -1):
-                if (i := known.get(word[at:end])) is not None:
-                    out.append(i)
-                    at = end
-                    break
-            else:
-                return None
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether these tokens can be neighbours; the verdicts met last are kept, one for each value of a hash."""
+        key = a << 32 | b
+        slot = (a * 0x9E3779B1 + b * 0x85EBCA77) % VERDICTS
+        new = np.flatnonzero(self.seen[slot] != key)
+        out = self.verdict[slot]
+        if len(new):
+            fresh, back = np.unique(key[new], return_inverse=True)
+            out[new] = self.apart(fresh >> 32, fresh & 0xFFFFFFFF)[back]
+            self.seen[slot[new]] = -1
+            self.verdict[slot[new]], self.seen[slot[new]] = out[new], key[new]  # of two with the same slot the last one's, both times
         return out
 
     def merged(self, word: bytes) -> list[int]:
         """Exact merging: always the pair of the lowest rank, of equal ones the first."""
-        ids = [i for i in map(self.byte_ids.__getitem__, word) if i >= 0]
+        ids = [i for i in self.byte_ids[np.frombuffer(word, np.uint8)].tolist() if i >= 0]
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         merges = self.merges
         heap = [(*m, k, ids[k], ids[k + 1]) for k in range(len(ids) - 1) if (m := merges.get((ids[k], ids[k + 1])))]
@@ -162,17 +169,61 @@ class Codec:
                 heappush(heap, (*m, before[k], ids[before[k]], new))
         return [i for i in ids if i >= 0]
 
+    def merged_together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words: at each step the pair of the lowest rank of each word. Ids, and the word of each."""
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        of = np.repeat(np.arange(len(words)), [len(w) for w in words])[ids >= 0]
+        ids = ids[ids >= 0]
+        rank = np.full(len(ids), _NEVER)
+        same = np.flatnonzero(of[1:] == of[:-1])
+        rank[same] = self.ranks(ids[same], ids[same + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            low = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
+            keep = low < _NEVER
+            done.append((ids[~keep], of[~keep]))
+            hit = np.flatnonzero(keep & (rank == low))
+            hit = hit[np.concatenate([[True], of[hit[1:]] != of[hit[:-1]]])[: len(hit)]]
+            ids[hit] = self.product_of[2][rank[hit]]
+            keep[hit + 1] = False
+            at = (np.cumsum(keep) - 1)[hit]
+            ids, of, rank = ids[keep], of[keep], rank[keep]
+            rank[at] = _NEVER
+            at = np.concatenate([at, at[at > 0] - 1])
+            at = at[at + 1 < len(ids)]
+            at = at[of[at] == of[at + 1]]
+            rank[at] = self.ranks(ids[at], ids[at + 1])
+        ids, of = (np.concatenate(x) if done else np.zeros(0, np.int64) for x in (zip(*done, strict=True) if done else ((), ())))
+        order = np.argsort(of, kind="stable")
+        return ids[order], of[order]
+
     def encoded(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word: proposed, all pairs of neighbours checked at once, merged exactly where one fails."""
-        guess = [self.greedy(w) for w in words]
-        ids = np.array([i for g in guess for i in g or ()], np.int64)
-        of = np.repeat(np.arange(len(words)), [len(g or ()) for g in guess])
-        inner = np.flatnonzero(of[1:] == of[:-1]) if len(of) else of
-        pairs, back = np.unique(ids[inner] << 32 | ids[inner + 1], return_inverse=True)
-        bad = ~self.apart(pairs >> 32, pairs & 0xFFFFFFFF)[back]
-        failed = set(of[inner[bad]].tolist()) | {k for k, g in enumerate(guess) if g is None}
-        self.proposed, self.failed = self.proposed + len(words), self.failed + len(failed)
-        return [array("I", self.merged(w) if k in failed else g).tobytes() for k, (w, g) in enumerate(zip(words, guess, strict=True))]
+        joined = "".join([w.decode("latin-1") + _BORDER for w in words])
+        got = np.fromiter(map(itemgetter(1), self.automaton.iter_long(joined)), np.int64)
+        border = got < 0
+        of = (np.cumsum(border) - border)[~border]
+        ids = got[~border]
+        size = np.array([len(w) for w in words], np.int64)
+        failed = np.bincount(of, self.size[ids], len(words)) != size  # a byte that begins no match
+        inner = np.flatnonzero(of[1:] == of[:-1])
+        failed[of[inner[~self.fit(ids[inner], ids[inner + 1])]]] = True
+        self.proposed, self.failed = self.proposed + len(words), self.failed + int(failed.sum())
+        out: list[bytes] = [b""] * len(words)
+
+        def put(which: np.ndarray, ids: np.ndarray, of: np.ndarray) -> None:
+            data, ends = ids.astype("<u4").tobytes(), 4 * np.searchsorted(of, which, "right")
+            for k, a, b in zip(which.tolist(), (4 * np.searchsorted(of, which)).tolist(), ends.tolist(), strict=True):
+                out[k] = data[a:b]
+
+        put(np.flatnonzero(~failed), ids, of)
+        short = np.flatnonzero(failed & (size <= SHORT))
+        ids, of = self.merged_together([words[k] for k in short])
+        put(short, ids, short[of])
+        for k in np.flatnonzero(failed & (size > SHORT)).tolist():
+            out[k] = array("I", self.merged(words[k])).tobytes()
+        return out
 
     def _word(self, word: str) -> bytes:
         out = self.ready.get(word)
@@ -180,7 +231,9 @@ class Codec:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of what stands between two spaces, with the space before it."""
-        return b"".join(map(self.words.__getitem__, self.split.findall(f" {chunk}")))
+        words = self.found.get(chunk) or self.split.findall(f" {chunk}")
+        alone = self.ready.get(words[0]) if len(words) == 1 else None  # a lone word is kept once, as a chunk
+        return b"".join(map(self.words.__getitem__, words)) if alone is None else alone
 
     def _parts(self, text: str) -> Iterator[tuple[str, list[str]]]:
         """A part's kind and what it consists of: the id of a special string, words, or chunks after the first words."""
@@ -206,16 +259,23 @@ class Codec:
             elif kind == "chunks":
                 for c in set(what):
                     if c not in self.chunks:
-                        new.update(w for w in self.split.findall(f" {c}") if w not in self.words)
+                        self.found[c] = words = self.split.findall(f" {c}")
+                        new.update(w for w in words if w not in self.words)
         order = list(new)
         self.ready = dict(zip(order, self.encoded([w.encode() for w in order]), strict=True))
         look = {"words": self.words.__getitem__, "chunks": self.chunks.__getitem__, "special": lambda s: array("I", [self.special[s]]).tobytes()}
         out = [b"".join([x for kind, what in text for x in map(look[kind], what)]) for text in parts]
-        self.ready = {}
+        self.ready, self.found = {}, {}
         return out
 
-    def decode(self, ids: bytes | None) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids or b"").cast("I"))).decode("utf-8", "replace")
+    def decode(self, ids: list[bytes | None]) -> list[str]:
+        """The texts of packed ids."""
+        flat = np.minimum(np.frombuffer(b"".join([x or b"" for x in ids]), "<u4"), len(self.bytes_of)).astype(np.int64)
+        size = self.size[flat]
+        ends = np.cumsum(size)
+        data = self.flat[np.arange(int(size.sum())) + np.repeat(self.first[flat] - (ends - size), size)].tobytes()
+        upto = np.append(0, ends)[np.cumsum([0] + [len(x or b"") // 4 for x in ids])].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(upto, upto[1:], strict=False)]
 
 
 _IDS, _ALL = [("id", pa.int64()), ("ids", pa.binary())], [("id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())]
@@ -231,7 +291,7 @@ def encoded(docs: DataFrame, path: str, *, decode: bool = False, id_col: str = "
             for a in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(a, TOGETHER)
                 ids = codec.encode(part["text"].to_pylist())
-                columns = [part["id"], pa.array(ids, pa.binary())] + ([pa.array([codec.decode(x) for x in ids], pa.string())] if decode else [])
+                columns = [part["id"], pa.array(ids, pa.binary())] + ([pa.array(codec.decode(ids), pa.string())] if decode else [])
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return with_text(docs, id_col, text_col).mapInArrow(run, "id long, ids binary" + (", decoded string" if decode else ""))
@@ -244,6 +304,6 @@ def decoded(rows: DataFrame, path: str, *, id_col: str = "id", ids_col: str = "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([codec.decode(x) for x in batch["ids"].to_pylist()], pa.string())], names=["id", "text"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(codec.decode(batch["ids"].to_pylist()), pa.string())], names=["id", "text"])
 
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, "id long, text string")
