@@ -2,9 +2,9 @@
 
 Each line is good or bad. Its features are shares and counts of its own (letters, marks, repeated words, repeated lines,
 ...), cut into ranges, and those of the line before and after it. The field is fitted by maximum likelihood, with a
-quadratic penalty, to the lines of a bounded sample of labelled documents (``SAMPLE`` of them, ``SAMPLE_LINES`` lines in
-all, chosen by a hash of the id; the documents beyond are left out of the fit, not of the scores); a line has its
-document's label. Forward-backward gives each line's marginal; the mean over a document's lines, each
+quadratic penalty, to the lines of a bounded sample of labelled documents (``SAMPLE`` of them, chosen by a hash of the id, with
+``SAMPLE_LINES`` lines in all: each document of the sample gives an equal share of these at most, and what short ones
+leave goes to the long ones, so none is left out and a long one gives its first lines); a line has its document's label. Forward-backward gives each line's marginal; the mean over a document's lines, each
 weighted by its length, is the document's quality, mapped to a probability of label 1 by a logistic curve that is
 fitted to the same sample. Documents of ``SAMPLE`` are collected as line features, never as texts.
 
@@ -21,7 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import as_bytes, claim, dropped, rows_kept, with_text, written
@@ -229,6 +229,16 @@ def sampled_labels(labels: DataFrame, label_col: str, out: Column, most: int, id
     return rows.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
 
 
+def share_of(lengths: list[tuple[int, int]], total: int) -> int:
+    """The most lines that each document may give so that there are no more than ``total``; of pairs of lines and documents."""
+    left, docs = total, sum(n for _, n in lengths)
+    for length, n in sorted(lengths):
+        if length * docs > left:
+            return left // docs
+        left, docs = left - length * n, docs - n
+    return max((length for length, _ in lengths), default=0)
+
+
 def train(docs: DataFrame, labels: DataFrame, *, folds: int = 5, fold: int = 0, sample: int = SAMPLE, lines: int = SAMPLE_LINES, id_col: str = "doc_id", text_col: str = "text") -> Field:
     chosen = written(sampled_labels(labels, "quality", held_out("id", folds, fold), sample, id_col), "labels")
     rows = with_text(docs, id_col, text_col).join(chosen, "id")
@@ -241,10 +251,9 @@ def train(docs: DataFrame, labels: DataFrame, *, folds: int = 5, fold: int = 0,
             yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array(counts), pa.array([a for a, _ in data], pa.binary()), pa.array([b for _, b in data], pa.binary())], names=["id", "label", "lines", "features", "sizes"])
 
     measured = written(rows.mapInArrow(measure, "id long, label int, lines long, features binary, sizes binary"), "measured")
-    # of at most ``sample`` ids, as many by their hash as have no more than so many lines together
-    before = Window.orderBy(F.xxhash64("id"), "id")
-    fits = measured.groupBy("id").agg(F.sum("lines").alias("lines")).withColumn("lines", F.sum("lines").over(before)).where(F.col("lines") <= lines).select("id")
-    got = measured.join(fits, "id").select("id", "label", "features", "sizes").toArrow().sort_by("id")
+    most = share_of([(r["lines"], r["count"]) for r in measured.groupBy("lines").count().collect()], lines)  # no more rows than ``sample``
+    width = 2 * (3 * len(RANGES) + 3)
+    got = measured.where(F.lit(most > 0)).select("id", "label", F.substring("features", 1, most * width).alias("features"), F.substring("sizes", 1, most * 4).alias("sizes")).toArrow().sort_by("id")
     dropped(measured, chosen)
     sizes = [np.frombuffer(x, np.int32) for x in got["sizes"].to_pylist()]
     features = np.frombuffer(b"".join(got["features"].to_pylist()), np.int16).reshape(-1, 3 * len(RANGES) + 3).astype(np.int64)
