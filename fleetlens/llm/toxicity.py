@@ -9,10 +9,15 @@ The label model is generative: a document is toxic with probability ``p``, and v
 it is and another if not. The off-diagonal covariances of the votes, counted over all documents, are then the product of
 two voters' strengths; these are fitted, pairs with a residue beyond ``CORRELATED`` are taken as correlated voters and
 left out of the next fit, and correlated voters that fire together share their weight. From there expectation maximisation
-over labelled documents fits both probabilities of every voter, the covariances' estimate counting as ``WORTH`` documents; a
-known label is the vote of one more voter, whose probabilities are fitted too. The model's posteriors are the soft labels on which the linear classifier is fitted (logistic, quadratic penalty; features are counts of the terms and their
-density): those of at most ``SAMPLE`` documents drawn from the training fold by a hash, labelled or not, and of at most
-``SAMPLE`` labelled ones. Every document is then scored by the classifier alone.
+over all documents of the training fold fits both probabilities of every voter; they are held as patterns of votes with
+counts, and each round is a Spark job over these. The covariances' estimate counts as much as the documents it was
+counted over, which keeps voters that seldom fire together, as those of two languages, in one class. A known label is the vote
+of one more voter, whose probabilities are fitted too. The posteriors are the soft labels on which the linear classifier is
+fitted (logistic, quadratic penalty; features are counts of the terms and their density).
+
+Bounds: at most ``SAMPLE`` labelled documents outside the held-out fold give terms and fit the classifier; unlabelled ones are
+all in the label model and in none of the classifier's fit. At most ``TERMS`` terms are features, at most ``VOTERS`` of them vote, the
+best first: these bound the models' size. Every document is scored by the classifier alone.
 
 Nulls and edges: a null or empty text has the score of a text without hits; very long texts are read whole; documents with a
 null id are scored and count as not held out; repeated rows give a row each; labels that are null, or of ids without a
@@ -35,7 +40,7 @@ from fleetlens.llm.common import as_bytes, claim, dropped, rows_kept, with_text,
 from fleetlens.llm.optimise import minimise, sigmoid
 from fleetlens.llm.quality import held_out, sampled_labels
 
-SAMPLE, TERMS, VOTERS, CORRELATED, WORTH = 20_000, 2_000, 60, 0.1, 50
+SAMPLE, TERMS, VOTERS, CORRELATED, ROUNDS = 20_000, 2_000, 60, 0.1, 12
 #: Lengths of word beginnings, in characters.
 LENGTHS = range(3, 9)
 KEPT = 200_000
@@ -167,20 +172,47 @@ class LabelModel(NamedTuple):
         says = np.log([(1 - self.label_if_toxic) / (1 - self.label_if_clean), self.label_if_toxic / self.label_if_clean, 1.0])
         return sigmoid(self.odds(votes) + says[labels])
 
-    def calibrated(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 20) -> LabelModel:
-        """After rounds of expectation maximisation over the labelled ones of these documents.
+    def expected(self, votes: np.ndarray, labels: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Sums over documents: of both classes' weights, and of these where each voter fires, is a label, and says toxic."""
+        p = self.posterior(votes, labels)
+        weight = np.stack([p, 1 - p]) * times
+        more = np.stack([np.ones(len(p)), labels >= 0, labels == 1], 1)
+        return weight @ np.hstack([votes, more])
+
+    def maximised(self, start: LabelModel, sums: np.ndarray) -> LabelModel:
+        """From sums over n documents; ``start``, which was counted over as many, counts as n documents more."""
+        voters, (n, known, says) = sums[:, :-3], sums[:, -3:].T
+        held = np.array([start.prior, 1 - start.prior]) * n.sum()
+        fires = (voters + held[:, None] * np.stack([start.if_toxic, start.if_clean])) / np.maximum(n + held, 1e-9)[:, None]
+        label = (says + 10 * np.array([0.95, 0.05])) / (known + 10)
+        return self._replace(if_toxic=np.clip(fires[0], 1e-3, 1 - 1e-3), if_clean=np.clip(fires[1], 1e-4, 1 - 1e-3), label_if_toxic=float(label[0]), label_if_clean=float(label[1]))
+
+    def calibrated(self, votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
+        """After rounds of expectation maximisation over these documents, of which some have labels."""
+        out, once = self, np.ones(len(votes))
+        for _ in range(rounds):
+            out = out.maximised(self, out.expected(votes, labels, once))
+        return out
 
-        Unlabelled ones would draw voters that seldom fire together, as those of two languages, into one class each.
-        """
-        known = labels >= 0
-        votes, labels, out = votes[known], labels[known], self
-        share = lambda weight, fires, prior, worth: (worth * prior + weight @ fires) / (worth + weight.sum())
-        for _ in range(rounds if known.any() else 0):
-            p = out.posterior(votes, labels)
-            out = out._replace(
-                if_toxic=np.clip(share(p, votes, self.if_toxic, WORTH), 1e-3, 1 - 1e-3), if_clean=np.clip(share(1 - p, votes, self.if_clean, WORTH), 1e-4, 1 - 1e-3),
-                label_if_toxic=float(share(p, labels, 0.95, 10)), label_if_clean=float(share(1 - p, labels, 0.05, 10)),
-            )
+    def calibrated_on(self, patterns: DataFrame, rounds: int = ROUNDS) -> LabelModel:
+        """The same over a written table of ``pattern`` (a bit for each voter), ``label`` (or -1) and how many ``n`` have them."""
+        voters, out = len(self.if_toxic), self
+
+        def step(model: LabelModel) -> np.ndarray:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros((2, voters + 3))
+                for batch in batches:
+                    votes = batch["pattern"].to_numpy().view(np.uint64)[:, None] >> np.arange(voters, dtype=np.uint64) & np.uint64(1)
+                    total += model.expected(votes.astype(float), batch["label"].to_numpy(), batch["n"].to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["k", "s"])
+
+            got = patterns.mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).toArrow()
+            sums = np.zeros(2 * (voters + 3))
+            sums[got["k"].to_numpy()] = got["s"].to_numpy()
+            return sums.reshape(2, -1)
+
+        for _ in range(rounds):
+            out = out.maximised(self, step(out))
         return out
 
 
@@ -216,31 +248,49 @@ def vote(count: Counter, n: int, total: int, voters: int) -> np.ndarray:
     return out
 
 
-_MEASURED = "kind int, i int, j int, n long, id long, label int, drawn long, terms array<int>, counts array<int>, hits int, words long"
+_MEASURED = "kind int, i int, j int, pattern long, n long, id long, label int, terms array<int>, counts array<int>, hits int, words long"
+#: Patterns that a task counts before it hands them on.
+PATTERNS = 100_000
 
 
 def _measured(rows: DataFrame, terms: dict[str, int], voters: int) -> DataFrame:
-    """In one pass, how often two voters fire in the same document (kind 0), and what is found in those drawn or labelled (1)."""
+    """In one pass: how often two voters fire in the same document (kind 0), how many documents of the training fold have
+    each pattern of votes, with their label (2), and what is found in the labelled ones (1).
+    """
     held = rows.sparkSession.sparkContext.broadcast(terms)
-    schema = pa.schema([("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64()), ("id", pa.int64()), ("label", pa.int32()), ("drawn", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("hits", pa.int32()), ("words", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("pattern", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("hits", pa.int32()), ("words", pa.int64())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
         find = _Hits(held.value)
         total = np.zeros((voters + 5, voters + 5), np.int64)
+        bits = 1 << np.arange(voters + 4, dtype=np.uint64)
+        patterns: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = [{"kind": 2, "pattern": p, "label": label, "n": n} for (p, label), n in patterns.items()]
+            patterns.clear()
+            return pa.RecordBatch.from_pylist(out, schema=schema)
+
         for batch in batches:
             out = []
-            for text, i, label, drawn, take in zip(as_bytes(batch["text"]), *(batch[c].to_pylist() for c in ("id", "label", "drawn", "take")), strict=True):
+            for text, i, label, fit in zip(as_bytes(batch["text"]), *(batch[c].to_pylist() for c in ("id", "label", "fit")), strict=True):
                 count, n, size = hits(words(text), find)
-                at = np.flatnonzero(np.append(vote(count, n, size, voters), 1))
+                votes = vote(count, n, size, voters)
+                at = np.flatnonzero(np.append(votes, 1))
                 total[np.ix_(at, at)] += 1
-                if take or label is not None:
-                    out.append({"kind": 1, "id": i, "label": label, "drawn": drawn if take else None, "terms": list(count), "counts": list(count.values()), "hits": n, "words": size})
+                if fit:
+                    patterns[int(bits[at[:-1]].sum().view(np.int64)), -1 if label is None else label] += 1
+                if label is not None:
+                    out.append({"kind": 1, "id": i, "label": label, "terms": list(count), "counts": list(count.values()), "hits": n, "words": size})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
+            if len(patterns) > PATTERNS:
+                yield flush()
+        yield flush()
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_pylist([{"kind": 0, "i": a, "j": b, "n": n} for a, b, n in zip(i.tolist(), j.tolist(), total[i, j].tolist(), strict=True)], schema=schema)
 
-    return written(rows.select("id", "text", "label", "drawn", "take").mapInArrow(measure, _MEASURED), "measured")
+    return written(rows.select("id", "text", "label", "fit").mapInArrow(measure, _MEASURED), "measured")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -251,11 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1,
     names = choose_voters(found)
     voters = len(names)
     terms = {t: k for k, t in enumerate(dict.fromkeys([*names, *(t for t, _, _ in found)]))}
-    # about a tenth more than wanted is drawn, and the first of them taken
-    share = min(1.0, (1.1 * sample + 100) / max(docs.count(), 1))
-    drawn = F.xxhash64("id", F.lit(3))
-    rows = rows.join(chosen, "id", "left").withColumns({"drawn": drawn, "take": ~out & (F.pmod(drawn, F.lit(1_000_000)) < int(share * 1_000_000) + 1)})
-    measured = _measured(rows, terms, voters)
+    measured = _measured(rows.join(chosen, "id", "left").withColumn("fit", ~out), terms, voters)
     sums = np.zeros((voters + 5, voters + 5))
     for r in measured.where("kind = 0").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         sums[r["i"], r["j"]] = r["n"]
@@ -263,16 +309,18 @@ def train(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1,
     prior = min(max(n1 / max(n0 + n1, 1), 0.01), 0.5) if n0 + n1 else 0.05
     label_model = fit_label_model(sums[-1, :-1] / everything, sums[:-1, :-1] / everything, prior)
     some = measured.where("kind = 1")
-    some = some.where("label is not null").unionByName(some.where("label is null").orderBy("drawn", "id", "hits", "words").limit(sample))
     docs_ = some.select("id", "label", "terms", "counts", "hits", "words").toArrow().sort_by([("id", "ascending"), ("words", "ascending")]).to_pylist()
+    if docs_ and found:
+        patterns = written(measured.where("kind = 2").groupBy("pattern", "label").agg(F.sum("n").alias("n")), "patterns")
+        label_model = label_model.calibrated_on(patterns)
+        dropped(patterns)
     dropped(measured, chosen)
     if not docs_ or not len(found):
         # nothing to learn from: the label model's own odds
         odds = np.log(label_model.if_toxic / label_model.if_clean)
         return Model(terms, np.concatenate([np.maximum(odds[:voters], 1.0) / np.log(2), np.zeros(BULK)]), float(np.log(prior / (1 - prior))))
     votes = np.stack([vote(Counter(dict(zip(d["terms"], d["counts"], strict=True))), d["hits"], d["words"], voters) for d in docs_])
-    known = np.array([-1 if d["label"] is None else d["label"] for d in docs_])
-    soft = label_model.calibrated(votes, known).posterior(votes, known)
+    soft = label_model.posterior(votes, np.array([d["label"] for d in docs_]))
     row = np.repeat(np.arange(len(docs_)), [len(d["terms"]) for d in docs_])
     col = np.array([t for d in docs_ for t in d["terms"]], np.int64)
     val = np.log1p([c for d in docs_ for c in d["counts"]])
