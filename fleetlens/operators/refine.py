@@ -1,11 +1,10 @@
 """Refinement by an external model: candidates, cache, cap and budget, validation of answers, calibration.
 
-The model is a plain callable on the driver, called once for each row that the cap lets through; all else is columns.
+Columns and queries; ``refinement`` puts them together and calls the model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 ELIGIBLE = ("ops.secrets", "ops.collect-status", "ops.pebble-custom-notice", "ops.relation-app-data", "pebble.checks")
 VERDICTS = ("clear-gap", "worth-considering")
 LONGEST, TTL_DAYS, MOST_CALLS, MOST_USD = 200, 30, 200, 5.0
-USD_IN, USD_OUT, TOKENS_IN, TOKENS_OUT = 0.80e-6, 4.00e-6, 950, 80
+TOKENS_IN, TOKENS_OUT = 950, 80
 
 
 def eligible(facts: DataFrame, units: DataFrame, features: tuple[str, ...] = ELIGIBLE) -> DataFrame:
@@ -55,10 +54,6 @@ def capped(rows: DataFrame, order: list[str], calls: Column, most: int) -> DataF
     return out.where(F.col("made") < most).drop("call", "part", "earlier", "made")
 
 
-def cost(tokens_in: Column, tokens_out: Column) -> Column:
-    return F.coalesce(tokens_in, F.lit(TOKENS_IN)) * USD_IN + F.coalesce(tokens_out, F.lit(TOKENS_OUT)) * USD_OUT
-
-
 def outcome(raw: Column, allowed: Column) -> Column:
     """ok, parse-error or invalid-path, for the answer as a whole: nothing may follow the JSON, and fields are text.
 
@@ -92,18 +87,6 @@ def refined(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
     return rows.withColumns({"score": F.when(up, "clear-gap").otherwise(F.col("score")), "rationale": F.when(up, F.col("why")).otherwise(F.col("rationale")), "ai_escalated": up | F.coalesce(old, F.lit(False))}).drop("why", "up")
 
 
-def ask(rows: DataFrame, model: Callable[[str], str], prompt_col: str, most: int = MOST_CALLS) -> list[tuple[str, str, str]]:
-    """slug, feature and raw answer of at most ``most`` rows, one call after another; a failing call gives an empty answer."""
-    out = []
-    for r in rows.limit(most).toLocalIterator():
-        try:
-            raw = model(r[prompt_col])
-        except RuntimeError:
-            raw = ""
-        out.append((r["slug"], r["feature"], raw))
-    return out
-
-
 def eligible_counts(facts: DataFrame, features: tuple[str, ...] = ELIGIBLE) -> DataFrame:
     """How many rows each eligible feature has, zeros too."""
     names = reduce(lambda a, b: a.unionByName(b), [facts.sparkSession.range(1).select(F.lit(f).alias("feature")) for f in features])
