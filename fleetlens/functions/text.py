@@ -83,16 +83,39 @@ def safe_name(c: Column) -> Column:
     return F.regexp_replace(c, "[^a-zA-Z0-9_-]", "-")
 
 
+def glob_pattern(glob: str) -> str:
+    """A Java pattern of whole paths: ``*``, ``?`` and ``[...]`` stay within a part of the path, ``**`` is any number of parts."""
+    parts = glob.split("/")
+    out = []
+    for k, part in enumerate(parts):
+        last = k == len(parts) - 1
+        if part == "**":
+            out.append(".*" if last else "(?:[^/]+/)*")
+            continue
+        at = 0
+        while at < len(part):
+            c, end = part[at], part.find("]", at + 2)
+            if c == "[" and end > 0:
+                inner = part[at + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+                out.append(f"[^/{inner[1:]}]" if inner[0] == "!" else f"[{inner}]")
+                at = end
+            else:
+                out.append({"*": "[^/]*", "?": "[^/]"}.get(c) or (c if c.isalnum() else f"\\{c}" if c.isascii() else c))
+            at += 1
+        out.append("" if last else "/")
+    return f"^(?s:{''.join(out)})$"
+
+
 MARK, OTHER_MARK = "\ue000", "\ue001"
 
 
-def match_lines(text: str, pattern: str) -> Column:
+def match_lines(text: str, pattern: str | Column) -> Column:
     """``array<struct<match, line>>`` of all matches of a Java pattern that matches no empty text, lines from 1.
 
     One mark goes before each match and the text is split into lines: a line's marks are its matches, so the work is linear
     in text and matches. The mark is a private character; where the text holds it already, another stands for it.
     """
-    t, p = F.col(text), F.lit(pattern)
+    t, p = F.col(text), F.lit(pattern) if isinstance(pattern, str) else pattern
     marked = F.regexp_replace(F.translate(t, MARK, OTHER_MARK), p, F.lit(f"{MARK}$0"))
     marks = lambda line: F.length(line) - F.length(F.replace(line, F.lit(MARK), F.lit("")))
     lines = F.flatten(F.transform(F.split(marked, "\n", -1), lambda line, i: F.array_repeat(i + 1, marks(line))))

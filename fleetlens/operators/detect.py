@@ -8,12 +8,17 @@ Null texts and files that don't parse show nothing; empty tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.functions.literals import required
 from fleetlens.functions.text import event_attribute, match_lines
+from fleetlens.sources.tree import in_scope
 
 #: Endings of events of relations and of resources, and events that every unit has.
 RELATION = ("relation_created", "relation_joined", "relation_changed", "relation_departed", "relation_broken")
@@ -22,9 +27,9 @@ BASELINE = ("install", "config_changed", "upgrade_charm", "update_status", "star
 KEYS = ("owner", "det_ord", "slug", "path")
 
 
-def _evidence(rows: DataFrame, kind: str, order: str | Column = "ord", line: str | Column = "line", snippet: str | Column = "snippet") -> DataFrame:
+def _evidence(rows: DataFrame, kind: str | Column, order: str | Column = "ord", line: str | Column = "line", snippet: str | Column = "snippet") -> DataFrame:
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    return rows.select("slug", "owner", "det_ord", F.col("path").alias("file"), col(line).cast("int").alias("line"), F.lit(kind).alias("detector_kind"), F.substring(col(snippet), 1, 120).alias("snippet"), col(order).cast("long").alias("ev_ord"))
+    return rows.select("slug", "owner", "det_ord", F.col("path").alias("file"), col(line).cast("int").alias("line"), (F.lit(kind) if isinstance(kind, str) else kind).alias("detector_kind"), F.substring(col(snippet), 1, 120).alias("snippet"), col(order).cast("long").alias("ev_ord"))
 
 
 def _runs(c: str, from_end: bool) -> Column:
@@ -58,13 +63,63 @@ def calls(py: DataFrame, wanted: DataFrame) -> DataFrame:
     return _evidence(rows, "call")
 
 
+class Pattern(NamedTuple):
+    """A pattern that matches no empty text; ``scope`` as of ``tree.in_scope``, None for all files given."""
+
+    owner: str
+    det_ord: int
+    pattern: str
+    kind: str = "regex"
+    scope: str | None = None
+
+
+def _can_match(contents: DataFrame, wanted: list[Pattern]) -> DataFrame:
+    """``id, text, k``: contents (id, text) with each pattern that may match them.
+
+    One automaton of the strings without which the patterns can't match goes over each text once; patterns of which no such
+    string is known go with every text.
+    """
+    strings: dict[str, set[int]] = {}
+    always = {k for k, w in enumerate(wanted) if not required(w.pattern)}
+    for k, w in enumerate(wanted):
+        for x in required(w.pattern) or ():
+            strings.setdefault(x, set()).add(k)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for x, ks in strings.items():
+            automaton.add_word(x, ks)
+        automaton.make_automaton()
+        for batch in batches:
+            can = [sorted(always.union(*{id(ks): ks for _, ks in automaton.iter(text)}.values()) if strings else always) for text in batch["text"]]
+            some = [bool(c) for c in can]
+            yield pd.DataFrame({"id": batch["id"][some], "text": batch["text"][some], "can": [c for c in can if c]})
+
+    return contents.mapInPandas(run, "id string, text string, can array<int>").select("id", "text", F.explode("can").alias("k"))
+
+
+def found_by(files: DataFrame, wanted: list[Pattern]) -> DataFrame:
+    """Evidence of patterns: a content is searched once, however many files have it, and only for patterns that it can match."""
+    spark = files.sparkSession
+    rows = [(k, *w) for k, w in enumerate(wanted)]
+    table = F.broadcast(spark.createDataFrame(rows, "k int, owner string, det_ord int, pattern string, kind string, scope string"))  # the catalogue's patterns
+    scopes = sorted({w.scope for w in wanted if w.scope})
+    inside = F.array_compact(F.array(*(F.when(in_scope(F.col("path"), s), F.lit(s)) for s in scopes))) if scopes else F.array().cast("array<string>")
+    own = files.where("text is not null").select("slug", "path", "text", inside.alias("scopes"), F.sha2("text", 256).alias("id"))
+    if all(w.scope for w in wanted):
+        own = own.where(F.size("scopes") > 0)
+    pattern = F.element_at(F.array(*(F.lit(f"(?m)(?U)(?d){w.pattern}") for w in wanted)), F.col("k") + 1) if wanted else F.lit("(?!)x")
+    found = _can_match(own.select("id", "text").dropDuplicates(["id"]), wanted).select("id", "k", F.posexplode(match_lines("text", pattern)).alias("i", "m"))
+    out = own.select("slug", "path", "id", "scopes").join(found, "id").join(table, "k").where(F.col("scope").isNull() | F.array_contains("scopes", F.col("scope")))
+    # matches of a detector are in order of its patterns, then of the text
+    return _evidence(out, F.col("kind"), order=F.col("k").cast("long") * (1 << 32) + F.col("i"), line="m.line", snippet=F.trim("m.match"))
+
+
 def matches(files: DataFrame, wanted: list[tuple[str, int, str]], kind: str = "regex") -> DataFrame:
-    """``wanted``: (owner, det_ord, pattern); patterns match no empty text. One pass over each text for all of them."""
-    if not wanted:
-        wanted = [("", 0, "(?!)x")]
-    own = lambda o, d, p: F.transform(match_lines("text", f"(?m)(?U)(?d){p}"), lambda m: F.struct(F.lit(o).alias("owner"), F.lit(d).alias("det_ord"), m["match"].alias("snippet"), m["line"].alias("line")))
-    rows = files.select("slug", "path", F.posexplode(F.concat(*(own(*w) for w in wanted))).alias("ord", "m")).select("slug", "path", "ord", "m.*")
-    return _evidence(rows, kind, snippet=F.trim("snippet"))
+    """``wanted``: (owner, det_ord, pattern)."""
+    return found_by(files, [Pattern(*w, kind) for w in wanted])
 
 
 def event_patterns(attribute: str) -> list[str]:
@@ -72,12 +127,16 @@ def event_patterns(attribute: str) -> list[str]:
     return [rf"observe\s*\([^)]*\bon\.{attribute}\b", rf"observe\s*\([^)]*\bon\[\s*['\"]{attribute}['\"]\s*\]"]
 
 
-def observed(files: DataFrame, wanted: list[tuple[str, int, list[str]]]) -> DataFrame:
-    """``wanted``: (owner, det_ord, event classes); by text, so also in files that don't parse."""
-    spark = files.sparkSession
+def event_searches(spark: SparkSession, wanted: list[tuple[str, int, list[str]]], scope: str | None = None) -> list[Pattern]:
+    """``wanted``: (owner, det_ord, event classes)."""
     names = sorted({e for _, _, events in wanted for e in events})
     attribute = {r.e: r.a for r in spark.createDataFrame([(n,) for n in names], "e string").select("e", event_attribute(F.col("e")).alias("a")).collect()} if names else {}
-    return matches(files, [(o, d, p) for o, d, events in wanted for e in events for p in event_patterns(attribute[e])], "observe-event")
+    return [Pattern(o, d, p, "observe-event", scope) for o, d, events in wanted for e in events for p in event_patterns(attribute[e])]
+
+
+def observed(files: DataFrame, wanted: list[tuple[str, int, list[str]]]) -> DataFrame:
+    """By text, so also in files that don't parse."""
+    return found_by(files, event_searches(files.sparkSession, wanted))
 
 
 def _scoped_to_relations(events: str) -> Column:
@@ -126,10 +185,12 @@ def shared_method(py: DataFrame, owner: str, attrs: list[str], det_ord: int = 0,
 
 
 def yaml_keys(docs: DataFrame, files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted``: owner, det_ord, keys. One place a file, that of the first key found; line 0 if the text doesn't tell."""
+    """``wanted``: owner, det_ord, keys, and patterns of paths (null: all of ``docs``). One place a file, that of the first key found; line 0 if the text doesn't tell."""
     flat = docs.select("slug", "path", "doc", F.posexplode("keys").alias("at", "key"))
-    asked = wanted.select("owner", "det_ord", F.explode("keys").alias("key"))
-    first = flat.join(asked, "key").groupBy(*KEYS).agg(F.min_by("key", F.struct("doc", "at")).alias("key")).join(files.select("slug", "path", "text"), ["slug", "path"])
+    paths = F.col("paths") if "paths" in wanted.columns else F.lit(None).cast("array<string>")
+    asked = wanted.select("owner", "det_ord", paths.alias("paths"), F.explode("keys").alias("key"))
+    inside = F.col("paths").isNull() | F.exists("paths", lambda p: F.rlike(F.col("path"), p))
+    first = flat.join(asked, "key").where(inside).groupBy(*KEYS).agg(F.min_by("key", F.struct("doc", "at")).alias("key")).join(files.select("slug", "path", "text"), ["slug", "path"])
     quoted = F.concat(F.lit(r"(?m)^\s*[\"']?\Q"), F.col("key"), F.lit(r"\E[\"']?\s*:"))
     before = F.get(F.split("text", quoted, 2), F.lit(0))
     found = F.regexp_extract_all("text", quoted, F.lit(0))

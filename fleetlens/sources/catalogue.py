@@ -134,8 +134,6 @@ def _entry(doc: dict[str, Any]) -> Entry:
     for d in detectors:
         if d.get("kind") not in KINDS:
             raise ValueError(f"{doc['name']}: unknown kind of detector {d.get('kind')!r}")
-        if d["kind"] == "yaml-key" and not set(d.get("files") or YAML_GLOBS) <= set(YAML_GLOBS):
-            raise ValueError(f"{doc['name']}: only the globs {YAML_GLOBS} are supported")
     if (scope := doc.get("scope") or "any") not in SCOPES:
         raise ValueError(f"{doc['name']}: unknown scope {scope!r}")
     return Entry(str(doc["name"]), str(doc.get("library") or ""), scope, detectors, str(doc.get("summary") or ""), bool(doc.get("expected_rare")))

@@ -22,14 +22,16 @@ FILES = "slug string, path string, text string"
 READ = (".py", ".yaml", ".yml", ".toml", ".ini", ".cfg")
 
 
-def files(roots: DataFrame, per_batch: int = 200) -> DataFrame:
+def files(roots: DataFrame, per_batch: int = 200, read_too: tuple[str, ...] = ()) -> DataFrame:
     """``slug, path, text`` of all files below ``root`` of each row (slug, root); path is relative, line ends are \\n.
 
+    ``read_too``: endings of more files whose text is wanted.
+
     Bytes that aren't UTF-8 are replaced. A null or missing root gives no rows; a file that can't be read has a null text.
     """
 
     def read(path: str) -> str | None:
-        if not path.endswith(READ):
+        if not path.endswith((*READ, *read_too)):
             return None
         try:
             with open(path, encoding="utf-8", errors="replace") as f:
@@ -78,10 +80,13 @@ def in_scope(path: Column, scope: str) -> Column:
     return path.endswith(".py") & ~vendored(path) & of
 
 
+def own_path(path: Column) -> Column:
+    """A file that is the unit's own: not in build trees, hidden folders or vendored libraries."""
+    return ~F.exists(folders(path), lambda d: d.isin(*YAML_SKIP) | d.startswith(".")) & ~vendored(path)
+
+
 def yaml_in_scope(path: Column) -> Column:
-    """YAML that is the unit's own: no build trees, hidden folders or vendored libraries."""
-    hidden = F.exists(folders(path), lambda d: d.isin(*YAML_SKIP) | d.startswith("."))
-    return path.rlike(r"\.ya?ml$") & ~hidden & ~vendored(path)
+    return path.rlike(r"\.ya?ml$") & own_path(path)
 
 
 def is_metadata(path: Column) -> Column:
