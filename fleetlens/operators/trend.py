@@ -6,7 +6,7 @@ with facts or without). A feature that a snapshot lacks was not scanned; a unit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import round1
@@ -82,6 +82,58 @@ def timeline(facts: DataFrame, units: DataFrame, feature: str | None = None, slu
     return rows.select("slug", "feature", F.inline("cells"))
 
 
+def _runs(rows: DataFrame, keys: list[str], *states: str) -> DataFrame:
+    """``first, last`` of runs of neighbouring dates (``d``, their numbers) with the same state, for each key."""
+    w = Window.partitionBy(*keys, *states).orderBy("d")
+    return rows.withColumn("_island", F.col("d") - F.row_number().over(w)).groupBy(*keys, *states, "_island").agg(F.min("d").alias("first"), F.max("d").alias("last")).drop("_island")
+
+
+def timeline_runs(facts: DataFrame, units: DataFrame, feature: str | None = None, slug: str | None = None) -> DataFrame:
+    """``slug, feature, first, last, state``: the timeline as runs of dates with the same state, which change when a state does.
+
+    A unit's runs in the corpus, a feature's runs among the scanned ones and a pair's runs of records are made each from its own
+    table; a pair's runs are cut where one of the three changes. So a pair costs its changes, not the number of dates.
+    """
+    rows = facts if "score" in facts.columns else facts.withColumn("score", F.lit(None).cast("string"))
+    if feature is not None:
+        rows = rows.where(F.col("feature") == feature)
+    if slug is not None:
+        rows, units_of = rows.where(F.col("slug") == slug), units.where(F.col("slug") == slug)
+    else:
+        units_of = units
+    names = [r["date"] for r in units.select("date").distinct().orderBy("date").collect()]  # a row for each snapshot
+    dates = F.broadcast(units.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "date string, d int"))
+    pack = lambda df, keys, *more: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "last", *more))).alias("r"))
+    there = pack(_runs(units_of.select("date", "slug").distinct().join(dates, "date"), ["slug"]), ["slug"]).withColumnRenamed("r", "there")
+    every = facts if feature is None else facts.where(F.col("feature") == feature)
+    scanned = pack(_runs(every.select("date", "feature").distinct().join(dates, "date"), ["feature"]), ["feature"]).withColumnRenamed("r", "scanned")
+    own = rows.withColumn("state", F.when(F.col("present"), "present").otherwise(F.coalesce("score", F.lit("not-applicable")))).join(dates, "date")
+    own = pack(_runs(own.select("slug", "feature", "d", "state"), ["slug", "feature"], "state"), ["slug", "feature"], "state").withColumnRenamed("r", "own")
+    pairs = there.crossJoin(scanned).join(own, ["slug", "feature"], "left").withColumn("own", F.coalesce("own", F.array().cast(own.schema["own"].dataType)))
+    some = lambda c: F.exists("there", lambda t: F.exists(c, lambda s: (t["first"] <= s["last"]) & (s["first"] <= t["last"])))
+    pairs = pairs.where(some("scanned"))  # others are never more than a placeholder
+    ends = F.flatten(F.array(*(F.flatten(F.transform(c, lambda r: F.array(r["first"], r["last"] + 1))) for c in ("there", "scanned", "own"))))
+    cuts = F.array_sort(F.array_distinct(F.filter(F.concat(F.array(F.lit(0)), ends), lambda x: x < len(names))))
+    pairs = pairs.withColumn("cuts", cuts)
+    inside = lambda c, x: F.exists(c, lambda r: (r["first"] <= x) & (x <= r["last"]))
+    record = lambda x: F.get(F.filter("own", lambda r: (r["first"] <= x) & (x <= r["last"])), F.lit(0))["state"]
+    state = lambda x: F.when(~inside("there", x), "not-in-corpus").when(~inside("scanned", x), "not-scanned").otherwise(F.coalesce(record(x), F.lit("not-applicable")))
+    steps = F.transform("cuts", lambda x: F.struct(x.alias("first"), state(x).alias("state")))
+    pairs = pairs.select("slug", "feature", steps.alias("steps"))
+    # of neighbouring steps with the same state only the first begins a run
+    begins = F.filter("steps", lambda s, i: (i == 0) | (F.get("steps", i - 1)["state"] != s["state"]))
+    pairs = pairs.select("slug", "feature", begins.alias("steps"))
+    last = F.transform("steps", lambda s, i: F.struct(s["first"].alias("a"), (F.coalesce(F.get("steps", i + 1)["first"], F.lit(len(names))) - 1).alias("b"), s["state"].alias("state")))
+    at = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    return pairs.select("slug", "feature", F.inline(last)).select("slug", "feature", F.get(at, F.col("a")).alias("first"), F.get(at, F.col("b")).alias("last"), "state")
+
+
+def timeline_of(runs: DataFrame, units: DataFrame) -> DataFrame:
+    """The grid of runs, equal to ``timeline``: each date within a run."""
+    dates = units.select("date").distinct()
+    return runs.join(F.broadcast(dates), (F.col("first") <= F.col("date")) & (F.col("date") <= F.col("last"))).select("slug", "feature", "date", "state")  # dates are snapshots, few and one a row
+
+
 def cell_state(in_corpus: Column, scanned: Column, present: Column, score: Column) -> Column:
     return F.when(in_corpus.isNull(), "not-in-corpus").when(scanned.isNull(), "not-scanned").when(present, "present").otherwise(F.coalesce(score, F.lit("not-applicable")))
 

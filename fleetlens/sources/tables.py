@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import name_from_url, slug, strip_all
+from fleetlens.operators.filters import not_reserved
+from fleetlens.plans.staging import numbered, staged
 
 #: Column of the corpus file by field; fixed values.
 CORPUS = {"team": "Team", "name": "Charm Name", "repo_url": "Repository", "branch": "Branch (if not the default)", "key_charm": "Key Charm for this Team", "notes": "Notes"}
@@ -71,12 +76,12 @@ def results(spark: SparkSession, path: str, date_from_name: bool = False) -> tup
     if date_from_name:
         raw = raw.where("date <> ''")
     keys = ["date"] * date_from_name
-    unit = raw.select(*keys, F.posexplode(_entries("value")).alias("unit_ord", "u")).where("not startswith(u.key, '__')")
+    unit = raw.select(*keys, F.posexplode(_entries("value")).alias("unit_ord", "u")).where(not_reserved(F.col("u.key")))
     of = F.from_json("u.value", "name string, team string, repo_url string, subpath string, features map<string,string>")
     unit = unit.select(*keys, "unit_ord", F.col("u.key").alias("slug"), of.alias("r"))
     meta = F.from_json(F.try_element_at("r.features", F.lit("__meta__")), META)
     units = unit.select(*keys, "unit_ord", "slug", "r.name", "r.team", "r.repo_url", "r.subpath", meta.alias("meta")).select(*keys, "unit_ord", "slug", "name", "team", "repo_url", "subpath", *(_fact(c) for c in (*FLAGS, *LISTS, "relations", "charm_name", "min_juju_version", "repo_sha", "library_count")))
-    facts = unit.select(*keys, "slug", F.posexplode(F.map_entries("r.features")).alias("feature_ord", "f")).where("not startswith(f.key, '__')")
+    facts = unit.select(*keys, "slug", F.posexplode(F.map_entries("r.features")).alias("feature_ord", "f")).where(not_reserved(F.col("f.key")))
     facts = facts.select(*keys, "slug", F.col("f.key").alias("feature"), "feature_ord", F.from_json("f.value", RECORD).alias("x")).select(*keys, "slug", "feature", "feature_ord", "x.*")
     return units, facts.withColumn("present", F.coalesce("present", F.lit(False)))
 
@@ -105,27 +110,67 @@ def write_facts(facts: DataFrame, path: str, date: str) -> None:
     facts.withColumn("date", F.lit(date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
+#: Rows whose offsets are added up together.
+_TOGETHER = 10_000
+
+
 def write_results(units: DataFrame, facts: DataFrame, path: str, skipped: DataFrame | None = None) -> None:
     """One JSON file: a record for each unit in order, its facts as ``__meta__``, and ``__skipped__`` if anything was.
 
-    The format is a single document, so the driver writes it, row by row; ``write_facts`` is the store for large fleets.
+    All tasks write the one document at once: records are made and numbered in order, their sizes are added up to offsets, and
+    each task writes its records at their place, so a task that runs again writes the same bytes. ``path`` lies in a folder
+    that all workers see; the file has its name when it is whole. ``write_facts`` is the store for large fleets.
     """
     import json
+    import os
 
     meta = F.to_json(F.struct(*(c for c in units.columns if c not in ("unit_ord", "slug", "name", "team", "repo_url", "subpath")))).alias("meta")
-    rows = documents(units, facts).join(units.select("slug", meta), "slug").orderBy("unit_ord")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("{")
-        comma = ""
-        for r in rows.toLocalIterator():
-            record = json.loads(r["record"])
-            record["features"] = {**record.get("features", {}), "__meta__": json.loads(r["meta"])}
-            f.write(f"{comma}\n{json.dumps(r['slug'])}: {json.dumps(record, indent=2)}")
-            comma = ","
-        left_out = {} if skipped is None else {r["slug"]: r["reason"] for r in skipped.orderBy("slug").toLocalIterator()}
-        if left_out:
-            f.write(f'{comma}\n"__skipped__": {json.dumps(left_out, indent=2)}')
-        f.write("\n}\n")
+    rows = documents(units, facts).join(units.select("slug", meta), "slug").select(F.lit(0).alias("kind"), F.col("unit_ord").cast("long").alias("unit_ord"), "slug", "record", "meta")
+    if skipped is not None:
+        left = skipped.groupBy("slug").agg(F.max("reason").alias("record"))
+        rows = rows.unionByName(left.select(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("unit_ord"), "slug", "record", F.lit(None).cast("string").alias("meta")))
+    placed, total = numbered(rows, "kind", "unit_ord", "slug")
+    n_units = units.count()
+
+    def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for place, kind, slug_, record, own in zip(batch["place"], batch["kind"], batch["slug"], batch["record"], batch["meta"], strict=True):
+                comma = "," if place else ""
+                if kind:
+                    head = f'{comma}\n"__skipped__": {{' if place == n_units else ","
+                    out.append(f"{head}\n  {json.dumps(slug_)}: {json.dumps(record)}")
+                else:
+                    doc = json.loads(record)
+                    doc["features"] = {**doc.get("features", {}), "__meta__": json.loads(own)}
+                    out.append(f"{comma}\n{json.dumps(slug_)}: {json.dumps(doc, indent=2)}")
+            yield pd.DataFrame({"place": batch["place"], "body": [t.encode() for t in out]})
+
+    made = staged(placed.mapInPandas(bodies, "place long, body binary").withColumn("part", F.floor(F.col("place") / _TOGETHER)))
+    base, at = [], 1  # behind the opening bracket
+    for r in made.groupBy("part").agg(F.sum(F.octet_length("body")).alias("size")).orderBy("part").collect():
+        base.append((r["part"], at))
+        at += r["size"]
+    w = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = made.join(F.broadcast(made.sparkSession.createDataFrame(base, "part long, base long")), "part").select("body", (F.col("base") + F.coalesce(F.sum(F.octet_length("body")).over(w), F.lit(0))).alias("offset"))
+    aside = f"{path}.part"
+    with open(aside, "wb") as f:
+        f.write(b"{")
+        f.seek(at)
+        f.write(b"\n}\n}\n" if total > n_units else b"\n}\n")
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with open(aside, "r+b") as f:
+            for batch in batches:
+                for body, offset in zip(batch["body"], batch["offset"], strict=True):
+                    f.seek(offset)
+                    f.write(body)
+                yield pd.DataFrame({"n": [len(batch)]})
+
+    wrote = offsets.mapInPandas(put, "n long").agg(F.sum("n")).first()[0] or 0
+    if wrote != total:
+        raise RuntimeError(f"{path}: {wrote} of {total} records were written")
+    os.replace(aside, path)
 
 
 def pairs(spark: SparkSession, path: str) -> DataFrame:
