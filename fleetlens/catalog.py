@@ -129,7 +129,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     k = F.col("s_suppkey")
     some = lambda *xs: F.array_compact(F.array(*(F.when(t, v) for t, v in xs)))
-    return s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"]).select(
+    return s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(
         k.alias("unit_ord"), F.col("s_name").alias("slug"), F.col("s_name").alias("name"), F.col("n_name").alias("team"), F.concat(F.lit("https://host/"), "s_name").alias("repo_url"), F.lit("").alias("subpath"), F.lit(None).cast("string").alias("repo_sha"),
         some((k % 5 == 0, "reconcile"), (k % 7 == 0, "part-reconcile")).alias("architecture"), (k % 3 == 0).alias("has_containers"), (k % 11 == 0).alias("is_reactive"), (k % 13 == 0).alias("is_legacy_classic"),
         F.lit(False).alias("provides_own_library"), (k % 9 == 0).alias("has_terraform_module"), some((k % 2 == 0, "tox"), (k % 4 == 0, "make")).alias("tooling"), F.array().cast("array<string>").alias("charmcraft_plugins"), F.array(F.lit("ubuntu@22.04")).alias("bases"),
@@ -149,7 +149,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = x.agg((F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45)) >= 8).alias("present"), F.sum("l_quantity").alias("q"))
     x = x.join(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("slug"), "s_acctbal"), F.col("l_suppkey") == F.col("s_suppkey"))
     score = F.when(F.col("s_acctbal") > 5000, "clear-gap").when(F.col("q") > 2000, "worth-considering").otherwise("not-applicable")
-    return x.join(F.broadcast(features(spark, sf_dir).select("feature", "feature_ord")), "feature").select("slug", "feature", "feature_ord", "present", F.when(~F.col("present"), score).alias("score"), F.lit("why").alias("rationale"))
+    return x.join(features(spark, sf_dir).select("feature", "feature_ord"), "feature").select("slug", "feature", "feature_ord", "present", F.when(~F.col("present"), score).alias("score"), F.lit("why").alias("rationale"))
 
 
 @query(f"with {FLEET}, {GRID} select feature, count(*) filter (present) as present, count(*) filter (score = 'clear-gap') as clear_gap, count(*) filter (score = 'worth-considering') as worth, count(*) filter (score = 'not-applicable') as na, count(*) filter (present) < 5 as low_count from g group by feature")
@@ -211,7 +211,7 @@ def feature_excludes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetlens.operators import scoring
 
     u = units(spark, sf_dir)
-    own = u.where("unit_ord % 17 = 0").select(F.col("repo_url").alias("url"), F.lit("").alias("sub_path"), F.lit("declared").alias("reason")).crossJoin(F.broadcast(features(spark, sf_dir).where("feature like 'S%'").select("feature")))
+    own = u.where("unit_ord % 17 = 0").select(F.col("repo_url").alias("url"), F.lit("").alias("sub_path"), F.lit("declared").alias("reason")).crossJoin(features(spark, sf_dir).where("feature like 'S%'").select("feature"))
     return scoring.exclude_features(facts(spark, sf_dir), u, own).select("slug", "feature", "present", "score", "rationale")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.catalog import FLEET, facts, features, query, table, units
-from fleetlens.operators import extract, metadata, refine, scan, search, views
+from fleetlens.operators import extract, metadata, refine, scan, scoring, search, views
 from fleetlens.plans.staging import shared_folder
 from fleetlens.sources import tree
 from fleetlens.sources.catalogue import INTERFACES, built_in
@@ -246,3 +246,34 @@ def cache_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strict_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.element_at(F.array(F.lit('{"verdict":"clear-gap","rationale":5}'), F.lit('{"verdict":"clear-gap","rationale":"r"} more'), F.lit('{"verdict":"worth-considering","rationale":"r","evidence_path":null}'), F.lit('{"verdict":"maybe","evidence_path":"b.py"}')), (F.col("turn") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", refine.outcome(raw, F.array(F.lit("a.py"))).alias("outcome"))
+
+
+# Labels of secrets with their reasons, and kinds of units, each in all its branches.
+
+
+@query(f"""
+    with {FLEET} select slug, case when is_reactive or is_legacy_classic then 'not-applicable' when k in (0, 2) then 'not-applicable' when k in (1, 5) then 'clear-gap' else 'worth-considering' end as score,
+        case when is_reactive then 'the unit is reactive' when is_legacy_classic then 'the unit is a classic one of hooks' when k = 0 then 'no option looks like a secret' when k = 1 then 'options look like secrets: db-password, token'
+            when k = 2 then 'all such options are secrets already' when k = 3 then 'some options are not secrets yet: token' when k = 4 then 'some options are not secrets yet: db-password'
+            when k = 5 then 'options look like secrets: a-token, b-token, c-token, …' else 'some options are not secrets yet: a-token, b-token, c-token, …' end as rationale
+    from (select *, unit_ord % 7 as k from u)
+""")
+def secret_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("unit_ord") % 7
+    words = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    many = words("d-token", "c-token", "b-token", "a-token")
+    like = F.when(k.isin(1, 3), words("db-password", "token")).when(k.isin(2, 4), words("db-password")).when(k >= 5, many).otherwise(words())
+    typed = F.when(k.isin(2, 3), words("db-password")).when(k == 4, words("cert")).when(k == 6, words("d-token")).otherwise(words())
+    no_relations = F.array().cast("array<struct<name:string,role:string,interface:string>>")
+    u = units(spark, sf_dir).withColumns({"secret_like_config": like, "secret_typed_config": typed, "relations": no_relations, "has_integration_tests": F.lit(False)})
+    own = u.select("slug", F.lit("ops.secrets").alias("feature"), F.lit(False).alias("present"), F.lit(None).cast("string").alias("score"), F.lit(None).cast("string").alias("rationale"))
+    return scoring.scored(own, u).select("slug", "score", "rationale")
+
+
+@query("select 'h' || c_custkey as slug, c_custkey % 6 = 2 as is_reactive, c_custkey % 6 in (0, 4, 5) as is_legacy_classic, c_custkey % 6 in (0, 1, 5) as is_workload_less from customer")
+def unit_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = {0: ["hooks/install"], 1: ["hooks/install", "src/charm.py"], 2: ["hooks/install", "layer.yaml", "reactive/x.py"], 3: ["src/charm.py", "deep/my-layer-1.yaml"], 4: ["hooks/start", "layer.yaml"], 5: ["hooks/start", "reactive/x.py"]}
+    k = F.col("c_custkey")
+    some = F.coalesce(*(F.when(k % 6 == n, F.array(*map(F.lit, ["metadata.yaml", *ps]))) for n, ps in paths.items()))
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("h"), k.cast("string")).alias("slug"), F.explode(some).alias("path")).withColumn("text", F.when(F.col("path") == "metadata.yaml", "name: h\n"))
+    return metadata.unit_facts(files, extract.yaml_docs(files)).select("slug", "is_reactive", "is_legacy_classic", "is_workload_less")

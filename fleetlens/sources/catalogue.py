@@ -40,12 +40,12 @@ def _events(*names: str) -> dict[str, Any]:
     return {"kind": "observe-event", "events": list(names)}
 
 
+#: Fixed values from here to the end of ``built_in``: names, modules, patterns, interfaces, methods and ranges that detectors look for.
 def _event_forms(suffix: str) -> list[dict[str, Any]]:
     """Three ways to name an event of a container or an action: attribute, subscript and getattr."""
     return _regex(rf"\bon\.[a-zA-Z_][a-zA-Z0-9_]*_{suffix}\b", rf"\bon\[\s*[^\]]+\s*\]\.{suffix}\b", rf"getattr\s*\(\s*[^,)]+\.on\s*,\s*['\"][a-zA-Z_][a-zA-Z0-9_]*_{suffix}['\"]")
 
 
-#: Fixed values from here to RECONCILERS: modules, names, patterns, interfaces and methods that detectors look for.
 CHISME, SUNBEAM, WORKERS, MONGO = "charmed_kubeflow_chisme.components", "ops_sunbeam", "coordinated_workers", "single_kernel_mongo"
 INTERFACES = {
     "postgresql": ["postgresql_client", "pgsql", "postgresql_async", "postgresql_watcher"],

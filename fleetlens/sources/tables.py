@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import name_from_url, slug, strip_all
@@ -114,9 +114,11 @@ def write_facts(facts: DataFrame, path: str, date: str) -> None:
 _TOGETHER = 10_000
 
 
-def write_results(units: DataFrame, facts: DataFrame, path: str, skipped: DataFrame | None = None) -> None:
+def write_results(units: DataFrame, facts: DataFrame, path: str, skipped: DataFrame | None = None) -> dict[str, int]:
     """One JSON file: a record for each unit in order, its facts as ``__meta__``, and ``__skipped__`` if anything was.
 
+    Returns how many were ``scanned`` and ``skipped``, counted by the action that makes the records.
+
     All tasks write the one document at once: records are made and numbered in order, their sizes are added up to offsets, and
     each task writes its records at their place, so a task that runs again writes the same bytes. ``path`` lies in a folder
     that all workers see; the file has its name when it is whole. ``write_facts`` is the store for large fleets.
@@ -146,6 +148,8 @@ def write_results(units: DataFrame, facts: DataFrame, path: str, skipped: DataFr
                     out.append(f"{comma}\n{json.dumps(slug_)}: {json.dumps(doc, indent=2)}")
             yield pd.DataFrame({"place": batch["place"], "body": [t.encode() for t in out]})
 
+    seen = Observation()
+    placed = placed.observe(seen, F.count_if(F.col("kind") == 0).alias("scanned"), F.count_if(F.col("kind") == 1).alias("skipped"))
     made = staged(placed.mapInPandas(bodies, "place long, body binary").withColumn("part", F.floor(F.col("place") / _TOGETHER)))
     base, at = [], 1  # behind the opening bracket
     for r in made.groupBy("part").agg(F.sum(F.octet_length("body")).alias("size")).orderBy("part").collect():
@@ -171,6 +175,7 @@ def write_results(units: DataFrame, facts: DataFrame, path: str, skipped: DataFr
     if wrote != total:
         raise RuntimeError(f"{path}: {wrote} of {total} records were written")
     os.replace(aside, path)
+    return dict(seen.get)
 
 
 def pairs(spark: SparkSession, path: str) -> DataFrame:

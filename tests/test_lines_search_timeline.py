@@ -95,7 +95,8 @@ def test_results_written_by_all_tasks(spark, tmp_path, left_out, monkeypatch):
     (tmp_path / "in.json").write_text(json.dumps(doc))
     units, facts = tables.results(spark, str(tmp_path / "in.json"))
     skipped = None if left_out is None else spark.createDataFrame(left_out, "slug string, reason string")
-    tables.write_results(units.repartition(5), facts, str(tmp_path / "out.json"), skipped)
+    counts = tables.write_results(units.repartition(5), facts, str(tmp_path / "out.json"), skipped)
+    assert counts == {"scanned": n, "skipped": len(left_out or [])}
     got = (tmp_path / "out.json").read_text(encoding="utf-8")
     # one record after another, as a single writer has them
     made = json.loads(got)
