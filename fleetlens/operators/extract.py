@@ -149,7 +149,7 @@ def _of_yaml(_path: str, text: str) -> Iterator[tuple]:
     import yaml
 
     try:
-        every = list(yaml.safe_load_all(text))
+        every = list(yaml.load_all(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)))
         made = [(i, json.dumps(d, default=str), list(_keys(d)), len(every)) for i, d in enumerate(d for d in every if d)]
     except (yaml.YAMLError, ValueError, TypeError, RecursionError):
         return  # an error anywhere discards the whole file

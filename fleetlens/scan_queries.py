@@ -263,7 +263,7 @@ def secret_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
     many = words("d-token", "c-token", "b-token", "a-token")
     like = F.when(k.isin(1, 3), words("db-password", "token")).when(k.isin(2, 4), words("db-password")).when(k >= 5, many).otherwise(words())
-    typed = F.when(k.isin(2, 3), words("db-password")).when(k == 4, words("cert")).when(k == 6, words("d-token")).otherwise(words())
+    typed = F.when(k.isin(2, 3), words("db-password")).when(k.isin(4, 6), words("cert")).otherwise(words())
     no_relations = F.array().cast("array<struct<name:string,role:string,interface:string>>")
     u = units(spark, sf_dir).withColumns({"secret_like_config": like, "secret_typed_config": typed, "relations": no_relations, "has_integration_tests": F.lit(False)})
     own = u.select("slug", F.lit("ops.secrets").alias("feature"), F.lit(False).alias("present"), F.lit(None).cast("string").alias("score"), F.lit(None).cast("string").alias("rationale"))
