@@ -16,7 +16,9 @@ rows give a row each; an empty table gives no rows; other columns are never read
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +108,7 @@ def scan(docs: DataFrame, *, base: dict[str, str] = BASE, notices: dict[str, str
     ddl = "id long, n_words long, grams array<struct<h:long,i:long>>, known array<int>, at array<long>"
     rows = written(with_text(docs, id_col, text_col).mapInArrow(hashes, ddl).withColumn("row", F.monotonically_increasing_id()), "grams")
     index = spark.createDataFrame(places, "h long, t int, j int, size int, label string, exact boolean")
-    votes = rows.select("row", F.explode("grams").alias("g")).select("row", "g.h", "g.i").join(F.broadcast(index), "h")
+    votes = rows.select("row", F.explode("grams").alias("g")).select("row", "g.h", "g.i").join(index, "h")
     diagonals = votes.groupBy("row", "t", "size", "label", "exact", (F.col("i") - F.col("j")).alias("d")).agg(F.count("*").alias("n"))
     # exact phrases: every k-gram of the phrase on one diagonal, which is the phrase word for word
     exact = diagonals.where(F.col("exact") & (F.col("n") == F.col("size") - K + 1)).select("row", "label", F.col("d").alias("word"))
@@ -131,10 +133,8 @@ def scan(docs: DataFrame, *, base: dict[str, str] = BASE, notices: dict[str, str
                     share = _common(t, ids[a:b]) / len(t)
                     if share >= SHARE:
                         found.append((share, s["from"], s["to"] + len(t), s["label"]))
-                # of notices over the same words, such as two versions of a licence, those that fit best
-                for share, a, b, label in found:
-                    if not any(x > share and a < to and start < b for x, start, to, _ in found):
-                        best[label] = max(best.get(label, 0), share)
+                for share, label in fitting_best(found):
+                    best[label] = max(best.get(label, 0), share)
                 out[0].append(row)
                 out[1].append(list(best))
                 out[2].append(list(best.values()))
@@ -153,6 +153,25 @@ def scan(docs: DataFrame, *, base: dict[str, str] = BASE, notices: dict[str, str
     )
 
 
+def fitting_best(found: list[tuple[float, int, int, str]]) -> Iterator[tuple[float, str]]:
+    """Of spans (share, from, to, label) over the same words, such as two versions of a licence, those that fit best.
+
+    Spans go by falling share; what better ones cover is kept as sorted intervals that don't touch, so each span is a search.
+    """
+    starts: list[int] = []
+    ends: list[int] = []
+    for share, group in groupby(sorted(found, key=lambda s: -s[0]), key=lambda s: s[0]):
+        spans = [(a, b, label) for _, a, b, label in group]
+        for a, b, label in spans:
+            if bisect_right(ends, a) == bisect_left(starts, b):  # no interval ends behind the beginning and begins before the end
+                yield share, label
+        for a, b, _ in spans:
+            i, j = bisect_left(ends, a), bisect_right(starts, b)
+            if i < j:
+                a, b = min(a, starts[i]), max(b, ends[j - 1])
+            starts[i:j], ends[i:j] = [a], [b]
+
+
 def _common(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence; a is a template, b a span of about its length."""
     row = [0] * (len(b) + 1)

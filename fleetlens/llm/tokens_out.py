@@ -137,19 +137,14 @@ def read(spark: SparkSession, files: DataFrame, folder: str, columns: tuple[str,
 
 
 def document_ids(spark: SparkSession, files: DataFrame, folder: str, doc_id: int) -> list[list[int]]:
-    """The ids of one document: only the row groups whose statistics admit it are opened (a selective read)."""
-    store, _ = pafs.FileSystem.from_uri(folder)
-    out = []
-    for r in files.orderBy("part").collect():
-        with store.open_input_file(r["file"]) as f:
-            source = pq.ParquetFile(f)
-            for g in range(source.num_row_groups):
-                s = source.metadata.row_group(g).column(0).statistics
-                if s is None or not s.has_min_max or s.min <= doc_id <= s.max:
-                    if (hit := np.flatnonzero(source.read_row_group(g, columns=["doc_id"])["doc_id"].to_numpy() == doc_id)).size:
-                        ids = source.read_row_group(g, columns=["ids"])["ids"]
-                        out += [ids[int(k)].as_py() for k in hit]
-    return out
+    """The ids of one document. The files are sorted by id, so Spark's reader drops row groups by their statistics and, by the
+    page index, the pages of all columns that can't hold it.
+    """
+    base, names = folder.rstrip("/"), [r["file"].rsplit("/", 1)[1] for r in files.orderBy("part").collect()]
+    if not names:
+        return []
+    rows = spark.read.schema("doc_id long, n_tokens long, ids array<int>").parquet(*(f"{base}/{n}" for n in names))
+    return [list(r["ids"]) for r in rows.where(F.col("doc_id") == doc_id).select("ids").collect()]
 
 
 def token_table(docs: DataFrame, path: str, **options: object) -> DataFrame:
