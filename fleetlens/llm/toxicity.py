@@ -13,7 +13,7 @@ over all documents of the training fold fits both probabilities of every voter;
 counts, and each round is a Spark job over these. The covariances' estimate counts as much as the documents it was
 counted over, which keeps voters that seldom fire together, as those of two languages, in one class. A known label is the vote
 of one more voter, whose probabilities are fitted too. The posteriors are the soft labels on which the linear classifier is
-fitted (logistic, quadratic penalty; features are counts of the terms and their density).
+fitted (logistic, quadratic penalty ``PENALTY``, chosen on the training folds; features are counts of the terms and their density).
 
 Bounds: at most ``SAMPLE`` labelled documents outside the held-out fold give terms and fit the classifier; unlabelled ones are
 all in the label model and in none of the classifier's fit. At most ``TERMS`` terms are features, at most ``VOTERS`` of them vote, the
@@ -40,7 +40,7 @@ from fleetlens.llm.common import as_bytes, claim, dropped, rows_kept, with_text,
 from fleetlens.llm.optimise import minimise, sigmoid
 from fleetlens.llm.quality import held_out, sampled_labels
 
-SAMPLE, TERMS, VOTERS, CORRELATED, ROUNDS = 20_000, 2_000, 60, 0.1, 12
+SAMPLE, TERMS, VOTERS, CORRELATED, ROUNDS, PENALTY = 20_000, 2_000, 60, 0.1, 12, 0.3
 #: Lengths of word beginnings, in characters.
 LENGTHS = range(3, 9)
 KEPT = 200_000
@@ -331,8 +331,8 @@ def train(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1,
         s = np.bincount(row, val * x[col], len(docs_)) + bulk @ x[n : n + BULK] + x[-1]
         p = sigmoid(s)
         g = p - soft
-        value = (np.logaddexp(0, s) - soft * s).sum() + 0.5 * (x[:-1] @ x[:-1])
-        return value, np.concatenate([np.bincount(col, val * g[row], n), bulk.T @ g, [g.sum()]]) + np.append(x[:-1], 0.0)
+        value = (np.logaddexp(0, s) - soft * s).sum() + PENALTY / 2 * (x[:-1] @ x[:-1])
+        return value, np.concatenate([np.bincount(col, val * g[row], n), bulk.T @ g, [g.sum()]]) + PENALTY * np.append(x[:-1], 0.0)
 
     x = minimise(loss, np.zeros(n + BULK + 1), 150)
     return Model(terms, x[:-1], float(x[-1]))

@@ -94,7 +94,7 @@ def test_empty_tables(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_give_what_their_sql_gives(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("benchmark", "documents", "embeddings", "pages", "labels"):
         db.execute(f"create view {t} as select * from '{TINY}/{t}.parquet'")
     got = queries.QUERIES[name](spark, TINY).toPandas()
     want = db.execute(queries.SQL[name]).df()
