@@ -1,15 +1,17 @@
 """Operator 2, approximate nearest neighbours by inner product: inverted lists of product-quantised residuals.
 
 On a bounded sample (``SAMPLE`` rows, chosen by hash) coarse centroids are learned and, for the residuals, a codebook
-for each pair of dimensions. Every vector is filed under its centroid as one byte a subspace. The index lies in shards
-of a bounded number of vectors, each with a slice of every list, so no list, however popular, is one task's.
-A block of queries visits each shard: for each query the lists whose centroids have the largest inner products are
-scanned with its asymmetric distance tables (as the inner product is linear, one table serves all lists: q.c + q.r).
-The best ``RERANK`` by these sums are scored again exactly, on the original vectors in double precision.
-
-Further lists are scanned, in the same order, until ``RERANK`` entries are: a small table is searched whole.
-``PROBE`` is a share of the lists, measured for directions without any clusters, the worst case (recall at 20: 0.97
-and more on the test tables); where vectors cluster a smaller one does.
+for each pair of dimensions. Every vector is filed under its centroid as one byte a subspace. The index lies in shards of
+at most ``SHARD`` vectors and of whole lists whose centroids are near each other; a longer list is dealt to several shards,
+so no list, however popular, is one task's. A query goes to the shards that hold lists that it probes, and to no other, in
+blocks of ``BLOCK``: the lists whose centroids have the largest inner products are scanned with its asymmetric distance
+tables (as the inner product is linear, one table serves all lists: q.c + q.r). The best ``RERANK`` by these sums are
+scored again exactly, on the original vectors in double precision.
+
+Which share of the lists is probed, is measured on the sample: the least that holds ``GOAL`` of the nearest others of
+``ASKED`` of its rows. Where vectors cluster that is a few lists; directions without any clusters, the worst case, need
+about three quarters, and work and shuffles then grow with queries times shards. Further lists are scanned, in the same
+order, until ``RERANK`` entries are: a small table is searched whole.
 
 Equal vectors are one entry with the smallest ids that can matter, so hot vectors cost no more than others.
 
@@ -25,17 +27,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import written
+from fleetlens.llm.common import dropped, written
 from fleetlens.llm.kmeans import kmeans
 from fleetlens.llm.neardup import dot, over_lengths, usable, vector
 
-SAMPLE, MOST_LISTS, PROBE, RERANK = 20_000, 1024, 0.75, 120
+SAMPLE, MOST_LISTS, RERANK = 20_000, 1024, 120
+GOAL, ASKED = 0.985, 1_000
 #: Vectors in a shard and queries in a block.
 SHARD, BLOCK = 32_768, 1_024
 
 
-def search(vectors: DataFrame, is_query: Column, *, k: int = 20, probe: float = PROBE, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest of each row for which ``is_query`` (over ``id``) holds."""
+def search(vectors: DataFrame, is_query: Column, *, k: int = 20, probe: float | None = None, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` nearest of each row for which ``is_query`` (over ``id``) holds.
+
+    ``probe``: the share of the lists that is probed; by default it is measured.
+    """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector(vectors, vector_col).alias("v"))
     rows = rows.where(F.col("id").isNotNull() & usable("v")).distinct()
@@ -59,12 +65,11 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, probe: float =
     return found.select("query_id", F.row_number().over(w).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def _candidates(own: DataFrame, asked: DataFrame, d: int, k: int, probe: float, rerank: int) -> DataFrame:
+def _candidates(own: DataFrame, asked: DataFrame, d: int, k: int, probe: float | None, rerank: int) -> DataFrame:
     """For each distinct query the best entries by the sums of its tables."""
     spark = own.sparkSession
-    n, queries = own.count(), asked.count()
     sample = np.array(own.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toArrow()["v"].to_pylist(), np.float64).reshape(-1, d)
-    centres = kmeans(sample, int(min(max(n**0.5, 1), MOST_LISTS)))
+    centres = kmeans(sample, int(min(max(own.count() ** 0.5, 1), MOST_LISTS)))
     lists = len(centres)
     width = 2 if d % 2 == 0 else 1
     spaces = d // width
@@ -75,10 +80,7 @@ def _candidates(own: DataFrame, asked: DataFrame, d: int, k: int, probe: float,
         books[m, : len(book)] = book
         books[m, len(book) :] = book[0] if len(book) else 0
     held = spark.sparkContext.broadcast((centres.astype(np.float32), books))  # 1024 x d floats and 256 x d at most
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-queries // BLOCK))
-    # of a query's best, about as many are in each shard, as vectors are dealt by a hash; four deviations more are taken
-    best = min(rerank, int(np.ceil(rerank / shards + 4 * (rerank / shards) ** 0.5 + 8)))
-    take = min(lists, int(np.ceil(probe * lists)))
+    take = min(lists, int(np.ceil((_share(sample, centres, of, k) if probe is None else probe) * lists)))
 
     def file(batches):  # noqa: ANN001, ANN202
         c, b = held.value
@@ -89,16 +91,32 @@ def _candidates(own: DataFrame, asked: DataFrame, d: int, k: int, probe: float,
             codes = np.empty((len(x), spaces), np.uint8)
             for m in range(spaces):
                 codes[:, m] = _nearest(r[:, m * width : (m + 1) * width], b[m])
-            yield pd.DataFrame({"rep": pdf["rep"], "shard": pdf["shard"], "list": at.astype(np.int32), "code": [row.tobytes() for row in codes]})
+            yield pd.DataFrame({"rep": pdf["rep"], "list": at.astype(np.int32), "code": [row.tobytes() for row in codes]})
 
-    index = own.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard")).mapInPandas(file, "rep long, shard int, list int, code binary")
-    index = written(index, "index")
-    filled = np.zeros(lists, np.int64)  # entries of each list over all shards
+    index = written(own.select("rep", "v").mapInPandas(file, "rep long, list int, code binary"), "index")
+    filled = np.zeros(lists, np.int64)
     for r in index.groupBy("list").count().collect():
         filled[r["list"]] = r["count"]
     enough = max(rerank, k + 1)
-    stored = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    visits = asked.select(F.col("rep").alias("q"), "v", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    first, parts = _shards(centres, filled)
+
+    def route(batches):  # noqa: ANN001, ANN202
+        c, _ = held.value
+        for pdf in batches:
+            for a in range(0, len(pdf), 256):
+                part = pdf.iloc[a : a + 256]
+                row, at = np.nonzero(_probed(np.stack(part["v"].to_numpy()).astype(np.float32), c, filled, take, enough)[1])
+                row, at, piece = np.repeat(row, parts[at]), np.repeat(at, parts[at]), np.concatenate([np.arange(p) for p in parts[at]])
+                row, shard = np.unique(np.stack([row, first[at] + piece]), axis=1)
+                yield pd.DataFrame({"q": part["rep"].to_numpy()[row], "v": part["v"].to_numpy()[row], "shard": shard.astype(np.int32)})
+
+    kind = asked.schema["v"].dataType.simpleString()
+    visits = written(asked.select("rep", "v").mapInPandas(route, f"q long, v {kind}, shard int"), "visits")
+    blocks = visits.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    of_list = spark.createDataFrame([(i, int(first[i]), int(parts[i])) for i in range(lists)], "list int, first int, parts int")  # MOST_LISTS rows at most
+    stored = index.join(F.broadcast(of_list), "list").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    stored = stored.join(blocks, "shard").select("rep", "list", "code", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = visits.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("q", F.lit(1)), "blocks").cast("int")).drop("blocks")
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         c, b = held.value
@@ -111,27 +129,62 @@ def _candidates(own: DataFrame, asked: DataFrame, d: int, k: int, probe: float,
         for a in range(0, len(right), 64):
             part = right.iloc[a : a + 64]
             q = np.stack(part["v"].to_numpy()).astype(np.float32)
-            near = q @ c.T
+            near, probed = _probed(q, c, filled, take, enough)
             tables = np.einsum("qmw,mkw->mqk", q.reshape(-1, spaces, width), b)
-            probed = np.zeros(near.shape, bool)
-            order = np.argsort(-near, axis=1, kind="stable")
-            before = np.cumsum(filled[order], 1) - filled[order]
-            np.put_along_axis(probed, order, (np.arange(lists) < take) | (before < enough), 1)
             # the inverted lists that some query of the slice probes, one after another
             on = np.flatnonzero(probed.any(0)[at])
             score = near[:, at[on]]
             score[~probed[:, at[on]]] = -np.inf
             for m in range(spaces):
                 score += tables[m][:, codes[on, m]]
-            top = np.argpartition(-score, best - 1, axis=1)[:, :best] if score.shape[1] > best else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+            top = np.argpartition(-score, enough - 1, axis=1)[:, :enough] if score.shape[1] > enough else np.broadcast_to(np.arange(score.shape[1]), score.shape)
             s = np.take_along_axis(score, top, 1)
             keep = np.isfinite(s)
             out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), keep.sum(1)), "c": reps[on][top[keep]], "s": s[keep]}))
         return pd.concat(out, ignore_index=True)
 
-    got = stored.groupBy("shard", "block").cogroup(visits.groupBy("shard", "block")).applyInPandas(scan, "q long, c long, s float")
+    got = stored.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(scan, "q long, c long, s float")
     w = Window.partitionBy("q").orderBy(F.desc("s"), "c")
-    return written(got.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max(rerank, k + 1)).select("q", "c"), "candidates")
+    best = written(got.withColumn("n", F.row_number().over(w)).where(F.col("n") <= enough).select("q", "c"), "candidates")
+    dropped(index, visits)
+    return best
+
+
+def _probed(q: np.ndarray, centres: np.ndarray, filled: np.ndarray, take: int, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    """The inner products of queries and centres, and which lists each query probes: ``take``, or as many as hold ``enough``."""
+    near = q @ centres.T
+    order = np.argsort(-near, axis=1, kind="stable")
+    before = np.cumsum(filled[order], 1) - filled[order]
+    probed = np.zeros(near.shape, bool)
+    np.put_along_axis(probed, order, (np.arange(len(centres)) < take) | (before < enough), 1)
+    return near, probed
+
+
+def _share(sample: np.ndarray, centres: np.ndarray, of: np.ndarray, k: int) -> float:
+    """The least share of the lists, best first, that holds ``GOAL`` of the ``k`` nearest others of rows of the sample."""
+    k, ranks = min(k, len(sample) - 1), []
+    for a in range(0, min(ASKED, len(sample)) if k > 0 else 0, 250):
+        q = sample[a : a + 250]
+        score = q @ sample.T
+        score[np.arange(len(q)), a + np.arange(len(q))] = -np.inf
+        top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        place = np.argsort(np.argsort(-(q @ centres.T), axis=1), axis=1)
+        ranks.append(np.take_along_axis(place, of[top], 1).ravel())
+    return (np.quantile(np.concatenate(ranks), GOAL, method="higher") + 1) / len(centres) if ranks else 1.0
+
+
+def _shards(centres: np.ndarray, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shard of each list and the number of shards that it is dealt to."""
+    near = _nearest(centres, kmeans(centres, min(len(centres), max(1, int(filled.sum()) // SHARD))))
+    first, parts = np.zeros(len(filled), np.int64), np.maximum(1, -(-filled // SHARD))
+    shard, held = 0, 0
+    for i in np.argsort(near, kind="stable"):
+        if held and held + filled[i] > SHARD:
+            shard, held = shard + 1, 0
+        first[i], held = shard, held + filled[i]
+        if parts[i] > 1:
+            shard, held = shard + int(parts[i]), 0
+    return first, parts
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
