@@ -1,4 +1,11 @@
-"""A corpus pipeline of four operators: documents in, packed training sequences out."""
+"""A corpus pipeline of four operators: documents in, packed training sequences out.
+
+Nulls and edges, alike in all stages: columns other than ``doc_id`` and ``text`` are handed on as they are, whatever their
+names; empty tables give empty tables; without labels that can be learned from, both classifiers keep a document or not by
+one score. A null or empty text is scored by both classifiers as an empty one, joins with nothing and is packed as its end
+id. A row without an id is scored, never joined, and packed. Rows that share id and text are scored alike, and the join
+keeps one of them; of those that share an id but not the text each text counts by itself.
+"""
 
 from __future__ import annotations
 
