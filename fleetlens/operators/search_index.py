@@ -18,21 +18,34 @@ from fleetlens.operators.search import Term, matches
 from fleetlens.plans.staging import staged
 
 SIZE, RAREST = 3, 4
+#: Texts that a worker gets at once, and trigrams that it gives back at once, but for those of one text.
+BATCH_ROWS, BATCH_GRAMS = 1_000, 200_000
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each trigram of a value."""
+    for batch in batches:
+        at, flat, last = [], [], batch.num_rows - 1
+        for k, v in enumerate(batch["v"]):
+            v = v.as_py()
+            own = {v[i : i + SIZE] for i in range(len(v) - SIZE + 1)}
+            at += [k] * len(own)
+            flat += own
+            if len(flat) >= BATCH_GRAMS or k == last:
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch["field"].take(take), batch["id"].take(take), pa.array(flat, pa.string())], names=["field", "id", "gram"])
+                at, flat = [], []
 
 
 def build(rows: DataFrame, id_col: str, fields: tuple[str, ...] = ("search",)) -> tuple[DataFrame, DataFrame]:
     """``field, gram, id`` and the lists' sizes ``field, gram, n``, both written. A null or shorter value has no trigrams."""
     each = reduce(DataFrame.unionByName, [rows.select(F.col(id_col).alias("id"), F.lit(f).alias("field"), F.lower(F.col(f).cast("string")).alias("v")) for f in fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = [list({v[k : k + SIZE] for k in range(len(v) - SIZE + 1)}) for v in batch["v"].to_pylist()]
-            flat = pa.array([g for gs in grams for g in gs], pa.string())
-            at = pa.array([k for k, gs in enumerate(grams) for _ in gs], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["field"].take(at), batch["id"].take(at), flat], names=["field", "id", "gram"])
-
+    conf = rows.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") or 0) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     kind = rows.schema[id_col].dataType.simpleString()
-    made = each.where("v is not null").mapInArrow(run, f"field string, id {kind}, gram string")
+    made = each.where("v is not null").mapInArrow(_grams, f"field string, id {kind}, gram string")
     lists = staged(made.repartitionByRange("gram", "field", "id").sortWithinPartitions("gram", "field", "id"))
     return lists, staged(lists.groupBy("field", "gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram"))
 
