@@ -95,7 +95,8 @@ def _can_match(contents: DataFrame, wanted: list[Pattern]) -> DataFrame:
         for batch in batches:
             can = [sorted(always.union(*{id(ks): ks for _, ks in automaton.iter(text)}.values()) if strings else always) for text in batch["text"]]
             some = [bool(c) for c in can]
-            yield pd.DataFrame({"id": batch["id"][some], "text": batch["text"][some], "can": [c for c in can if c]})
+            if any(some):  # a frame without lists has no kind of list
+                yield pd.DataFrame({"id": batch["id"][some], "text": batch["text"][some], "can": [c for c in can if c]})
 
     return contents.mapInPandas(run, "id string, text string, can array<int>").select("id", "text", F.explode("can").alias("k"))
 
@@ -235,8 +236,10 @@ def pytest_keys(settings: DataFrame, wanted: DataFrame) -> DataFrame:
 def facts(evidence: DataFrame, units: DataFrame, features: DataFrame) -> DataFrame:
     """``slug, feature, feature_ord, present, evidence`` of every unit and feature. Evidence of metadata and settings comes first."""
     by_file = ~F.col("detector_kind").isin("pytest-config-key", "requires-interface", "relation-count", "yaml-key")
-    shown = evidence.groupBy("slug", F.col("owner").alias("feature")).agg(F.array_sort(F.collect_list(F.struct(by_file.alias("p"), F.when(by_file, 0).otherwise(F.col("det_ord")).alias("d"), "file", "det_ord", "ev_ord", "line", "detector_kind", "snippet"))).alias("e"))
-    every = units.select("slug").crossJoin(features.select("feature", "feature_ord")).join(shown, ["slug", "feature"], "left")
+    # all of a unit meets at its slug, so the grid of units and features is neither shuffled nor sorted
+    shown = evidence.repartition("slug").groupBy("slug", F.col("owner").alias("feature")).agg(F.array_sort(F.collect_list(F.struct(by_file.alias("p"), F.when(by_file, 0).otherwise(F.col("det_ord")).alias("d"), "file", "det_ord", "ev_ord", "line", "detector_kind", "snippet"))).alias("e"))
+    shown = shown.groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct("feature", "e"))).alias("of"))
+    every = units.select("slug").join(shown, "slug", "left").crossJoin(F.broadcast(features.select("feature", "feature_ord"))).withColumn("e", F.col("of")[F.col("feature")])
     own = F.transform("e", lambda x: F.struct(x["file"].alias("file"), x["line"].alias("line"), x["detector_kind"].alias("detector_kind"), x["snippet"].alias("snippet")))
     return every.select("slug", "feature", "feature_ord", F.col("e").isNotNull().alias("present"), F.coalesce(own, F.array().cast("array<struct<file:string,line:int,detector_kind:string,snippet:string>>")).alias("evidence"))
 

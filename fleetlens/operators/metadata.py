@@ -50,8 +50,8 @@ def _base(b: Column) -> Column:
     return F.when(b.startswith("{"), F.concat_ws("@", name, channel)).otherwise(b)
 
 
-def from_documents(docs: DataFrame) -> DataFrame:
-    own = described(docs)
+def from_documents(own: DataFrame) -> DataFrame:
+    """Of ``described`` documents."""
     options = F.coalesce(F.col("d.config.options"), F.create_map().cast(_RELATIONS))
     of_type = F.transform(F.filter(F.map_entries(options), lambda e: F.get_json_object(e["value"], "$.type") == "secret"), lambda e: e["key"])
     plugins = F.filter(F.transform(F.map_values(F.coalesce("d.parts", F.create_map().cast(_RELATIONS))), lambda p: F.get_json_object(p, "$.plugin")), lambda p: p.isNotNull())
@@ -85,10 +85,16 @@ def from_tree(files: DataFrame) -> DataFrame:
 
 def unit_facts(files: DataFrame, docs: DataFrame) -> DataFrame:
     """One row for each unit of ``files``: both of the above, its relations, and what follows from all of these."""
-    rel = relations(described(docs)).groupBy("slug", "name", "role").agg(F.min(F.struct("rank", "ord", "interface")).alias("x"))
+    own = described(docs)
+    return facts_from(files, own, relations(own))
+
+
+def facts_from(files: DataFrame, own: DataFrame, rel: DataFrame) -> DataFrame:
+    """``unit_facts``, given ``described`` documents and their ``relations``, which others may read too."""
+    rel = rel.groupBy("slug", "name", "role").agg(F.min(F.struct("rank", "ord", "interface")).alias("x"))
     rel = rel.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("x.rank", "x.ord", "name", "role", "x.interface"))).alias("rs"))
     rel = rel.select("slug", F.transform("rs", lambda r: F.struct(r["name"].alias("name"), r["role"].alias("role"), r["interface"].alias("interface"))).alias("relations"))
-    out = from_tree(files).join(from_documents(docs), "slug", "left").join(rel, "slug", "left")
+    out = from_tree(files).join(from_documents(own), "slug", "left").join(rel, "slug", "left")
     flags, lists = ("has_containers", "is_subordinate"), ("config_keys", "secret_typed_config", "secret_like_config", "charmcraft_plugins", "bases")
     out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in flags} | {c: F.coalesce(c, F.array().cast(_NONE)) for c in lists})
     out = out.withColumn("relations", F.coalesce("relations", F.array().cast("array<struct<name:string,role:string,interface:string>>")))

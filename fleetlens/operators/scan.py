@@ -33,8 +33,10 @@ class Scan(NamedTuple):
     parsed: int
 
 
-def evidence(files: DataFrame, py: DataFrame, docs: DataFrame, conf: DataFrame, own: DataFrame, entries: list[Entry]) -> DataFrame:
-    """What all detectors of the entries find; ``py``, ``docs`` and ``conf`` are the tables of ``extract`` over the same files."""
+def evidence(files: DataFrame, py: DataFrame, docs: DataFrame, conf: DataFrame, own: DataFrame, entries: list[Entry], described: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
+    """What all detectors of the entries find; ``py``, ``docs`` and ``conf`` are the tables of ``extract`` over the same files,
+    ``described`` and ``relations`` those of ``metadata`` over ``docs``.
+    """
     spark = files.sparkSession
     found: list[DataFrame] = []
     searches: list[detect.Pattern] = []
@@ -63,10 +65,11 @@ def evidence(files: DataFrame, py: DataFrame, docs: DataFrame, conf: DataFrame,
     if some := asked("yaml-key"):
         want = spark.createDataFrame([(o, i, d.get("keys") or [d["key"]], [glob_pattern(g) for g in d.get("files") or YAML_GLOBS]) for o, i, d in some if d.get("keys") or d.get("key")], "owner string, det_ord int, keys array<string>, paths array<string>")
         found.append(detect.yaml_keys(docs.where(tree.own_path(path)), files, want))
-    relations = metadata.relations(metadata.described(docs))
+    described = metadata.described(docs) if described is None else described
+    relations = metadata.relations(described) if relations is None else relations
     if some := asked("requires-interface"):
         want = spark.createDataFrame([(o, i, d["interfaces"], d.get("invert", False)) for o, i, d in some], "owner string, det_ord int, interfaces array<string>, invert boolean")
-        found.append(detect.requires_interface(relations, metadata.described(docs).select("slug", "path"), want))
+        found.append(detect.requires_interface(relations, described.select("slug", "path"), want))
     if some := asked("relation-count"):
         want = spark.createDataFrame([(o, i, d["role"], d.get("min", 0), d.get("max"), d.get("optional", False)) for o, i, d in some], "owner string, det_ord int, role string, min int, max int, optional boolean")
         found.append(detect.relation_count(relations, files.where(tree.is_metadata(path)).select("slug", "path"), want))
@@ -87,8 +90,11 @@ def scan(files: DataFrame, features: list[Entry], patterns: list[Entry], known:
     docs, new_docs = extract.facts_of(files, extract.yaml_parser(globs), known)
     conf, new_conf = extract.facts_of(files, extract.SETTINGS_PARSER, known)
     py, docs = staged(py), staged(docs)
-    units = staged(metadata.unit_facts(files, docs))
-    shown = staged(evidence(files, py, docs, conf, detect.own_libraries(units), [*features, *patterns]))
+    # JSON is read once, for all that asks the metadata
+    described = staged(metadata.described(docs))
+    relations = staged(metadata.relations(described))
+    units = staged(metadata.facts_from(files, described, relations))
+    shown = staged(evidence(files, py, docs, conf, detect.own_libraries(units), [*features, *patterns], described, relations))
     named = spark.createDataFrame([(e.name, i) for i, e in enumerate(patterns)], "pattern string, pattern_ord int")
     arch = detect.architectures(shown.where(F.col("owner").isin([e.name for e in patterns])), named)
     units = units.join(arch, "slug", "left").withColumn("architecture", F.coalesce("architecture", F.array().cast("array<string>")))
