@@ -77,14 +77,21 @@ def facts_of(files: DataFrame, parser: Parser, known: str | None = None) -> tupl
     own = files.withColumn("id", content(parser)).where("id is not null")
     schema = f"id string, found array<struct<{', '.join(f'{n}: {k}' for n, k in (f.split() for f in parser.ddl.split(', ')))}>>"
     path = f"{known}/{parser.name}" if known else shared_folder(spark, parser.name)
-    before = committed.read(spark, path, schema)
-    new = own.join(before.select("id"), "id", "left_anti").select("id", parser.of().alias("at"), "text").dropDuplicates(["id"])
-    new = staged(new)
-    n = new.count()
-    if n:
-        committed.append(_parsed(new, parser), path)
-    # two scans at once may both have parsed a content
-    found = committed.read(spark, path, schema).join(own.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    before = committed.read(spark, path, schema) if known else None
+    fresh = own
+    if before is not None and not before.isEmpty():
+        # ids alone are compared; where few are new, no text is shuffled
+        ids = staged(own.select("id").distinct().join(before.select("id"), "id", "left_anti"))
+        n = ids.count()
+        fresh = own.join(ids, "id", "left_semi") if n else None
+    if fresh is not None:
+        new = staged(fresh.select("id", parser.of().alias("at"), "text").dropDuplicates(["id"]))
+        n = new.count()
+        if n:
+            committed.append(_parsed(new, parser), path)
+    found = committed.read(spark, path, schema)
+    if known:  # of other scans too, and two at once may both have parsed a content
+        found = found.join(own.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     out = own.select("slug", "path", "id").join(found.where(F.size("found") > 0), "id").select("slug", "path", F.inline("found"))
     return out, n
 
