@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.catalog import FLEET, facts, features, query, table, units
 from fleetlens.operators import extract, metadata, refine, scan, scoring, search, views
-from fleetlens.plans.staging import shared_folder
+from fleetlens.plans.staging import shared_folder, staged
 from fleetlens.sources import tree
 from fleetlens.sources.catalogue import INTERFACES, built_in
 
@@ -161,14 +161,14 @@ def scan_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     select slug, role, case role when 'requires' then 'r' else 'p' end || i as name, case when role = 'provides' then 'http' when i = 1 then case k % 17 {SECOND_SQL} else 'other' end when i > 0 then 'other' when k % 3 = 0 then 'mysql' when k % 3 = 1 then 'redis' else 'ingress' end as interface, role = 'requires' and i < k % 9 as optional from x
 """)
 def unit_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = extract.yaml_docs(trees(spark, sf_dir).where(tree.is_metadata(F.col("path"))))
+    docs = extract.yaml_docs(staged(trees(spark, sf_dir).where(tree.is_metadata(F.col("path")))))
     return metadata.relations(metadata.described(docs)).select("slug", "role", "name", "interface", "optional")
 
 
 @query("select 'second' as scan, 0 as parsed union all select 'third', count(*) from customer where c_custkey % 50 = 0")
 def scan_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many contents are parsed by a second scan of the same trees, and by a third after one file of some has changed."""
-    files, known = trees(spark, sf_dir), shared_folder(spark, "known")
+    files, known = staged(trees(spark, sf_dir)), shared_folder(spark, "known")
     changed = (F.col("path") == "src/charm.py") & (F.substring("slug", 2, 20).cast("long") % 50 == 0)
     after = files.withColumn("text", F.when(changed, F.concat("text", F.lit("# "), "slug")).otherwise(F.col("text")))
     parsed = [sum(extract.facts_of(f, p, known)[1] for p in (extract.PYTHON_PARSER._replace(wanted=lambda: tree.in_scope(F.col("path"), "any")), extract.yaml_parser(), extract.SETTINGS_PARSER)) for f in (files, files, after)]
