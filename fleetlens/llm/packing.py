@@ -43,8 +43,8 @@ def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int
         encoder = Encoder.at(path)
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
-            for row, doc, text in zip(batch["row"].to_pylist(), batch["id"].to_pylist(), batch["text"], strict=True):
-                data = memoryview(encoder.ids(text.as_py() or "") + end_id.to_bytes(4, "little"))
+            for row, doc, ids in zip(batch["row"].to_pylist(), batch["id"].to_pylist(), encoder.all_ids(batch["text"]), strict=True):
+                data = memoryview(ids + end_id.to_bytes(4, "little"))
                 total = len(data) // 4
                 for k, at in enumerate(range(0, total, capacity)):
                     n = min(capacity, total - at)

@@ -77,8 +77,8 @@ def write(docs: DataFrame, path: str, folder: str, *, end_id: int = 2, encoding:
 
         held = 0
         for batch in batches:
-            for doc, text, part in zip(batch["id"].to_pylist(), batch["text"], batch["part"].to_pylist(), strict=True):  # noqa: B007
-                got = encoder.ids(text.as_py() or "") + end
+            for doc, found, part in zip(batch["id"].to_pylist(), encoder.all_ids(batch["text"]), batch["part"].to_pylist(), strict=True):  # noqa: B007
+                got = found + end
                 ids.append(doc)
                 lens.append(len(got) // 4)
                 flat.append(got)
