@@ -8,7 +8,10 @@ terms).
 The label model is generative: a document is toxic with probability ``p``, and voter ``j`` fires with one probability if
 it is and another if not. The off-diagonal covariances of the votes, counted over all documents, are then the product of
 two voters' strengths; these are fitted, pairs with a residue beyond ``CORRELATED`` are taken as correlated voters and
-left out of the next fit, and correlated voters that fire together share their weight. From there expectation maximisation
+left out of the next fit, and correlated voters that fire together share their weight. Known labels tell the strengths as
+well, and count for the more the more of them are toxic (as many as ``WORTH`` count as the covariances do): words of two
+languages hardly fire together, so by covariances alone the toxic class can shrink to the language with most voters.
+From there expectation maximisation
 over all documents of the training fold fits both probabilities of every voter; they are held as patterns of votes with
 counts, and each round is a Spark job over these. The covariances' estimate counts as much as the documents it was
 counted over, which keeps voters that seldom fire together, as those of two languages, in one class. A known label is the vote
@@ -40,7 +43,7 @@ from fleetlens.llm.common import as_bytes, claim, dropped, rows_kept, with_text,
 from fleetlens.llm.optimise import minimise, sigmoid
 from fleetlens.llm.quality import held_out, sampled_labels
 
-SAMPLE, TERMS, VOTERS, CORRELATED, ROUNDS, PENALTY = 20_000, 2_000, 60, 0.1, 12, 0.3
+SAMPLE, TERMS, VOTERS, CORRELATED, ROUNDS, PENALTY, WORTH = 20_000, 2_000, 60, 0.1, 12, 0.3, 50
 #: Lengths of word beginnings, in characters.
 LENGTHS = range(3, 9)
 KEPT = 200_000
@@ -216,18 +219,23 @@ class LabelModel(NamedTuple):
         return out
 
 
-def fit_label_model(means: np.ndarray, seconds: np.ndarray, prior: float) -> LabelModel:
-    """From the share of documents in which each voter, and each pair of voters, fires."""
+def fit_label_model(means: np.ndarray, seconds: np.ndarray, prior: float, known: np.ndarray | None = None, toxic: int = 0) -> LabelModel:
+    """From the share of documents in which each voter, and each pair of voters, fires.
+
+    known: by how much oftener each voter fires on documents labelled toxic, of which there are ``toxic``, than on clean ones.
+    """
     cov = seconds - np.outer(means, means)
     scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     use = ~np.eye(len(means), dtype=bool)
     sign = np.ones(len(means))
     sign[-1] = -1  # the last fires on clean documents
     z = sign * scale * np.sqrt(prior)
+    told = z if known is None else sign * np.clip(sign * known * np.sqrt(prior * (1 - prior)), 1e-6, scale)
+    share = 0.0 if known is None else toxic / (toxic + WORTH)
     for _ in range(3):
         for _ in range(50):
             top, low = (use * cov) @ z, use @ z**2
-            z = 0.5 * z + 0.5 * np.where(low > 1e-12, top / np.maximum(low, 1e-12), z)
+            z = 0.5 * z + 0.5 * (share * told + (1 - share) * np.where(low > 1e-12, top / np.maximum(low, 1e-12), z))
             z = sign * np.clip(sign * z, 1e-6, scale)
         residue = (cov - np.outer(z, z)) / np.outer(scale, scale)
         use = ~np.eye(len(means), dtype=bool) & (np.abs(residue) < CORRELATED)
@@ -307,9 +315,13 @@ def train(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1,
         sums[r["i"], r["j"]] = r["n"]
     everything = max(sums[-1, -1], 1)
     prior = min(max(n1 / max(n0 + n1, 1), 0.01), 0.5) if n0 + n1 else 0.05
-    label_model = fit_label_model(sums[-1, :-1] / everything, sums[:-1, :-1] / everything, prior)
     some = measured.where("kind = 1")
     docs_ = some.select("id", "label", "terms", "counts", "hits", "words").toArrow().sort_by([("id", "ascending"), ("words", "ascending")]).to_pylist()
+    votes = np.array([vote(Counter(dict(zip(d["terms"], d["counts"], strict=True))), d["hits"], d["words"], voters) for d in docs_])
+    is_toxic = np.array([d["label"] == 1 for d in docs_], bool)
+    both = 0 < is_toxic.sum() < len(docs_)
+    known = votes[is_toxic].mean(0) - votes[~is_toxic].mean(0) if both else None
+    label_model = fit_label_model(sums[-1, :-1] / everything, sums[:-1, :-1] / everything, prior, known, int(is_toxic.sum()))
     if docs_ and found:
         patterns = written(measured.where("kind = 2").groupBy("pattern", "label").agg(F.sum("n").alias("n")), "patterns")
         label_model = label_model.calibrated_on(patterns)
@@ -319,7 +331,6 @@ def train(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1,
         # nothing to learn from: the label model's own odds
         odds = np.log(label_model.if_toxic / label_model.if_clean)
         return Model(terms, np.concatenate([np.maximum(odds[:voters], 1.0) / np.log(2), np.zeros(BULK)]), float(np.log(prior / (1 - prior))))
-    votes = np.stack([vote(Counter(dict(zip(d["terms"], d["counts"], strict=True))), d["hits"], d["words"], voters) for d in docs_])
     soft = label_model.posterior(votes, np.array([d["label"] for d in docs_]))
     row = np.repeat(np.arange(len(docs_)), [len(d["terms"]) for d in docs_])
     col = np.array([t for d in docs_ for t in d["terms"]], np.int64)
