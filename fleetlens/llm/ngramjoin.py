@@ -47,8 +47,8 @@ FIRST_LISTS = 8
 KEPT = 200_000
 #: Bits of the parity of a set, by which most pairs are ruled out without their tokens.
 PARITY = 1024
-#: Bits of the folded parity that goes along with list entries.
-SKETCH = 256
+#: Least and most bits of the folded parity that goes along with list entries.
+SKETCH = 256, 4096
 
 
 class _Words(dict):
@@ -257,6 +257,14 @@ def _fold(parity: np.ndarray, longs: int) -> np.ndarray:
     return np.bitwise_xor.reduce(parity.reshape(-1, longs), axis=0)
 
 
+def _sketch(parity: np.ndarray, n: int) -> np.ndarray:
+    """The parity of a set of size ``n`` in twice as many bits as tokens about, within bounds.
+
+    With fewer bits than tokens sets that are nearly similar enough differ in no more bits than similar ones.
+    """
+    return _fold(parity, min(max(SKETCH[0], 1 << (2 * n).bit_length()), SKETCH[1]) // 64)
+
+
 _INDEX = pa.schema([("sig", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
 
 
@@ -350,7 +358,7 @@ def _found(docs: DataFrame, scheme: Scheme, width: int, id_col: str, text_col: s
     def sizes(ids: list, sets: list[np.ndarray]) -> list:
         heads = [s[: scheme.head(len(s))] if len(s) and not scheme.alone(len(s)) else s[:0] for s in sets]
         parities = [_parity(s) for s in sets]
-        return [ids, [len(s) for s in sets], *_keys(sets), parities, [_fold(x, SKETCH // 64) for x in parities], [as_long(h) for h in heads]]
+        return [ids, [len(s) for s in sets], *_keys(sets), parities, [_sketch(x, len(s)) for x, s in zip(parities, sets, strict=True)], [as_long(h) for h in heads]]
 
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("c2", pa.int64()), ("parity", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("head", pa.list_(pa.int64()))])
     sized = written(_over(rows, width, sizes, schema, "id long, n long, c long, c2 long, parity array<long>, sketch array<long>, head array<long>"), "sized")
@@ -476,8 +484,14 @@ def _strays(found: _Found, part: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def apart(a: str, b: str) -> Column:
-    """In how many bits two parities differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x).cast("long")
+    """In how many bits two parities differ; one that is twice as long as the other is folded, and of a longer one nothing is told: 0."""
+
+    def halved(x: str, other: str) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(other), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda v, w: v.bitwiseXOR(w))).otherwise(F.col(x))
+
+    differ = F.aggregate(F.zip_with(halved(a, b), halved(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return F.coalesce(differ, F.lit(0)).cast("long")
 
 
 def near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
